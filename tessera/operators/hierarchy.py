@@ -80,7 +80,7 @@ def walk(children: dict[str, list[str]], roots: list[str], nodes: list[str]) ->
     return via, cyclic, back
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, str], list[tuple[str, str | None]]]]:
+def component_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, str], list[tuple[str, str | None]]]]:
     """Consecutive rows of one (run_id, component), from batches sorted by them."""
     key, links = None, []
     for pdf in batches:
@@ -109,7 +109,7 @@ def _children(links: list[tuple[str, str | None]]) -> tuple[dict[str, list[str]]
 
 
 def _cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for (run, _), links in _groups(batches):
+    for (run, _), links in component_groups(batches):
         children, roots, nodes = _children(links)
         _, cyclic, _ = walk(children, roots, nodes)
         if cyclic:
@@ -117,7 +117,7 @@ def _cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _back_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for (run, _), links in _groups(batches):
+    for (run, _), links in component_groups(batches):
         children, roots, nodes = _children(links)
         _, _, back = walk(children, roots, nodes)
         if back:
@@ -125,7 +125,7 @@ def _back_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _paths(batches: Iterator[pd.DataFrame], most: int = 2000) -> Iterator[pd.DataFrame]:
-    for (run, _), links in _groups(batches):
+    for (run, _), links in component_groups(batches):
         children, roots, nodes = _children(links)
         via, cyclic, _ = walk(children, roots, nodes)
         path: dict[str, list[str]] = {}
@@ -142,7 +142,7 @@ def _paths(batches: Iterator[pd.DataFrame], most: int = 2000) -> Iterator[pd.Dat
 
 
 def _descendants(batches: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[pd.DataFrame]:
-    for (run, _), links in _groups(batches):
+    for (run, _), links in component_groups(batches):
         children, _, nodes = _children(links)
         rows: list[tuple] = []
         for node in nodes:
