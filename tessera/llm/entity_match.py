@@ -3,8 +3,9 @@
 Method: every node is a query against the nodes of its type in every other source. All its attributes, brought to a common
 form, are tokens of an inverted index with BM25 weights; misspelt words meet in the words they give with one letter left
 out. Top-k search is exact with pruning: tokens are taken from the heaviest on until those left could not lift any node to
-the score a match needs, and only the taken ones are looked up (so common tokens are never joined); candidates are then
-scored in full. Two nodes match if each is the other's best in its source. The confidence comes from the score, its gap to
+the score a match needs, and only the taken ones are looked up (so common tokens are never joined); partial scores over them, with a
+signature of each node's common tokens, bound the full score from above, and only nodes that may reach the need are scored
+in full. Two nodes match if each is the other's best in its source. The confidence comes from the score, its gap to
 the runner-up, and agreeing and conflicting attributes, through a logistic function.
 
 The score a match needs grows with ln N: BM25 sums logarithms of inverse frequencies, so that much evidence is what a
@@ -27,8 +28,9 @@ from ..session import cut
 from ..sources.runstore import clean_id
 
 NODE_TYPES = ("Organization", "Product", "Facility")
-#: BM25 with short fields: k1, b; a token's share of its node's own score that a match needs at least.
-K1, B, LEAST_SHARE = 1.2, 0.3, 0.3
+#: The share of a node's own score that a match needs at least. Tokens occur once in a node and lengths tell nothing here
+#: (b = 0), so BM25's term frequency factor is 1 for any k1.
+LEAST_SHARE = 0.25
 #: Weight of a word with a letter left out against that of the word.
 FUZZY = 0.7
 
@@ -138,7 +140,7 @@ def tokens(f: dict) -> list[tuple[int, str, float]]:
     """(group, token, factor): of a group, only the heaviest token that two nodes share counts."""
     groups: list[list[tuple[str, float]]] = []
     for w in dict.fromkeys([*f["words"], *([f["site"]] if f["site"] else [])]):
-        groups.append([(f"w:{w}", 1.0), (f"p:{w[:3]}", 0.5), *((f"v:{x}", FUZZY) for x in shortened(w))])
+        groups.append([(f"w:{w}", 1.0), *((f"v:{x}", FUZZY) for x in shortened(w))])
     groups += [[(f"k:{c}", 1.0)] for c in f["codes"]]
     groups += [[(f"n:{n}", 1.0)] for n in f["numbers"]]
     if f["city"]:
@@ -155,7 +157,11 @@ def tokens(f: dict) -> list[tuple[int, str, float]]:
     if f["geo"]:
         cells = {(math.floor((f["geo"][0] + a) * 10), math.floor((f["geo"][1] + b) * 10)) for a in (-0.02, 0.02) for b in (-0.02, 0.02)}
         groups.append([(f"g:{a}:{b}", 1.0) for a, b in sorted(cells)])
-    return [(g, t, x) for g, group in enumerate(groups) for t, x in group]
+    once: dict[str, tuple[int, str, float]] = {}
+    for g, group in enumerate(groups):
+        for t, x in group:
+            once.setdefault(t, (g, t, x))
+    return list(once.values())
 
 
 def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,53 +179,82 @@ NODE_SCHEMA = "node_id string, node_type string, source string, features string,
 
 
 def index_nodes(nodes: DataFrame) -> DataFrame:
-    """NODE_SCHEMA rows, one per node id of the types to match; a node of several runs is one. Without source: none."""
+    """nid, node_id, node_type, source, features, tokens (hashed, with their type): one row per node id of the types to
+    match; a node of several runs is one. Nodes whose source can't be told are left out. nid is a short number."""
     kept = nodes.where(F.col("node_type").isin(*NODE_TYPES) & F.col("data_json").isNotNull())
     once = kept.select(clean_id("node_id").alias("node_id"), "node_type", "data_json").where("node_id is not null").groupBy("node_id", "node_type").agg(F.max("data_json").alias("data_json"))
-    hashed = lambda x: F.struct(x["g"].alias("g"), F.xxhash64(x["t"]).alias("t"), x["x"].alias("x"))
-    return once.mapInPandas(_tokenise, NODE_SCHEMA).where("source is not null").withColumn("tokens", F.transform("tokens", hashed))
+    hashed = lambda x: F.struct(x["g"].cast("tinyint").alias("g"), F.xxhash64(F.col("node_type"), x["t"]).alias("t"), x["x"].cast("float").alias("x"))
+    read_nodes = cut(once.mapInPandas(_tokenise, NODE_SCHEMA).where("source is not null").withColumn("tokens", F.transform("tokens", hashed)))
+    # numbers over a checkpoint: they stay the same whenever a lost part is read again
+    return read_nodes.withColumn("nid", F.monotonically_increasing_id())
 
 
-def _weight(size: Column, mean: Column) -> Column:
-    """BM25's factor of a token that occurs once in a node of so many groups."""
-    return F.lit(K1 + 1) / (1 + K1 * (1 - B + B * size / mean))
+#: Bits of the signature of a node's common tokens.
+SIGNATURE = 128
 
 
 def search(indexed: DataFrame, k: int = 2) -> DataFrame:
-    """node_id, node_type, source, other_id, other_source, score, nth, share, next_score: the k best of each other source.
+    """nid, other_id, source, other_source, score, share, nth, next_score: the k best nodes of each other source.
 
     score is the BM25 score of the other node for this one; share is that of the most this one could reach, next_score
-    the following one's (0 if none reaches what a match needs). Ties go to the smaller id.
+    the following one's (0 if none reaches what a match needs). Ties go to the smaller number.
     """
-    stats = indexed.groupBy("node_type").agg(F.count("*").alias("n"), F.avg(F.array_size(F.array_distinct(F.transform("tokens", lambda x: x["g"])))).alias("mean"))
-    postings = indexed.select("node_type", "source", "node_id", F.explode("tokens").alias("x")).select("node_type", "source", "node_id", "x.*")
-    df = postings.select("node_type", "node_id", "t").distinct().groupBy("node_type", "t").agg(F.count("*").alias("df"))
-    few = F.broadcast(stats)  # one row per node type
+    sized = indexed.select("nid", "node_type", F.crc32(F.col("source").cast("binary")).alias("src"), "tokens")
+    stats = F.broadcast(sized.groupBy("node_type").agg(F.count("*").alias("n")))  # a row per type
+    postings = sized.join(stats, "node_type").select("nid", "src", "n", F.inline("tokens"))
+    frequency = postings.groupBy("t").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = postings.join(df, ["node_type", "t"]).join(few, "node_type").select("node_type", "source", "node_id", "g", "t", (idf * F.col("x")).alias("w"), "n")
-    # each node with its weighted tokens, the most it can reach, and what a match needs of it
-    groups = weighted.groupBy("node_type", "source", "node_id", "g", "n").agg(F.max("w").alias("most"), F.collect_list(F.struct("t", "w")).alias("ts"))
-    by_node = groups.groupBy("node_type", "source", "node_id", "n").agg(F.sort_array(F.collect_list(F.struct("most", "g", "ts"))).alias("gs"), F.sum("most").alias("self"))
-    need = F.greatest(F.col("self") * LEAST_SHARE, F.log("n"))
-    vectors = cut(by_node.select("node_type", "source", "node_id", "gs", "self", need.alias("need"), F.size("gs").alias("size")))
-
-    # groups from the lightest on that together stay below the need even at the greatest length factor are not looked up
-    most_factor = (K1 + 1) / (1 + K1 * (1 - B))
-    opened = vectors.select("node_type", "source", "node_id", "need", F.posexplode("gs").alias("at", "grp"), "gs")
-    lighter = F.aggregate(F.slice("gs", 1, F.col("at") + 1), F.lit(0.0), lambda s, x: s + x["most"]) * most_factor
-    probes = opened.where(lighter >= F.col("need")).select("node_type", "source", "node_id", F.explode(F.transform("grp.ts", lambda x: x["t"])).alias("t")).distinct()
-    target = postings.select("node_type", F.col("source").alias("other_source"), F.col("node_id").alias("other_id"), "t").distinct()
-    pairs = probes.join(target, ["node_type", "t"]).where("source <> other_source").select("node_type", "node_id", "other_id").distinct()
-
-    left = vectors.select("node_type", "node_id", "source", "gs", "self", "need")
-    right = vectors.select("node_type", F.col("node_id").alias("other_id"), F.col("source").alias("other_source"), F.col("size").alias("other_size"), F.array_distinct(F.flatten(F.transform("gs", lambda g: F.transform(g["ts"], lambda x: x["t"])))).alias("other_ts"))
-    joined = pairs.join(left, ["node_type", "node_id"]).join(right, ["node_type", "other_id"]).join(F.broadcast(stats.select("node_type", "mean")), "node_type")
-    best_of = lambda g: F.aggregate(g["ts"], F.lit(0.0), lambda m, x: F.when((x["w"] > m) & F.array_contains(F.col("other_ts"), x["t"]), x["w"]).otherwise(m))
-    score = F.aggregate("gs", F.lit(0.0), lambda s, g: s + best_of(g)) * _weight(F.col("other_size"), F.col("mean"))
-    scored = joined.select("node_id", "node_type", "source", "other_id", "other_source", F.round(score, 6).alias("score"), "self", "need").where(F.col("score") >= F.col("need"))
-    order = Window.partitionBy("node_type", "node_id", "other_source").orderBy(F.col("score").desc(), "other_id")
-    ranked = scored.withColumns({"nth": F.row_number().over(order), "next_score": F.coalesce(F.lead("score").over(order), F.lit(0.0))})
-    return ranked.where(F.col("nth") <= k).select("node_id", "node_type", "source", "other_id", "other_source", "score", "nth", (F.col("score") / F.col("self")).alias("share"), "next_score")
+    weighted = postings.join(frequency, "t").select("nid", "src", "n", "g", "t", (idf * F.col("x")).cast("float").alias("w"))
+
+    # tokens from the lightest on are not looked up as long as no node could reach the need by them alone: of a group only
+    # the heaviest counts, so each adds what it is heavier than the one before
+    in_group = Window.partitionBy("nid", "g").orderBy("w", "t")
+    by_weight = Window.partitionBy("nid").orderBy("w", "g", "t").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("nid").orderBy("w", "g", "t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    stepped = weighted.withColumn("step", (F.col("w") - F.coalesce(F.lag("w").over(in_group), F.lit(0.0))).cast("double"))
+    stepped = stepped.withColumns({"reach": F.sum("step").over(by_weight), "self": F.sum("step").over(whole)})
+    stepped = stepped.withColumn("need", F.greatest(F.col("self") * LEAST_SHARE, F.log("n") + 1)).withColumn("heavy", F.col("reach") >= F.col("need"))
+    bit = F.pmod("t", F.lit(SIGNATURE)).cast("tinyint")
+    of_group = stepped.groupBy("nid", "src", "g").agg(
+        F.collect_list(F.struct("g", "t", "w")).alias("ts"),
+        F.collect_list(F.when(F.col("heavy"), F.struct("g", "t", "w"))).alias("heavy"),
+        F.collect_list(F.when(~F.col("heavy"), F.struct(bit.alias("bit"), "w"))).alias("light"),
+        F.max("self").alias("self"), F.max("need").alias("need"),
+    )
+    vectors = cut(
+        of_group.groupBy("nid", "src").agg(
+            F.flatten(F.collect_list("ts")).alias("ts"),
+            F.flatten(F.collect_list("heavy")).alias("heavy"),
+            F.collect_list(F.when(F.size("light") > 0, F.col("light"))).alias("light"),
+            F.max("self").alias("self"), F.max("need").alias("need"),
+        )
+    )
+
+    # each posting carries a signature of those tokens of its node that are light for any node: with it, partial scores
+    # over the looked up tokens bound the full score closely from above
+    heaviest = vectors.select(F.max(F.array_max(F.transform(F.flatten("light"), lambda x: x["w"])))).first()[0] or 0.0
+    half = lambda n: F.aggregate(F.filter("ts", lambda x: x["w"] <= heaviest), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.when(F.floor(F.pmod(x["t"], F.lit(SIGNATURE)) / 64) == n, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x["t"], F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))))
+    probes = vectors.select("nid", F.col("src").alias("own"), F.inline("heavy"))
+    target = vectors.select(F.col("nid").alias("other"), "src", half(0).alias("low_bits"), half(1).alias("high_bits"), F.explode(F.transform("ts", lambda x: x["t"])).alias("t"))
+    met = probes.join(target, "t").where("src <> own").select("nid", "other", "low_bits", "high_bits", "g", "w").repartition("nid")
+    partial = met.groupBy("nid", "other", "low_bits", "high_bits", "g").agg(F.max("w").alias("w")).groupBy("nid", "other", "low_bits", "high_bits").agg(F.sum("w").alias("part"))
+    is_set = lambda b: F.call_function("shiftright", F.when(b < 64, F.col("low_bits")).otherwise(F.col("high_bits")), F.pmod(b, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    most = lambda group: F.aggregate(group, F.lit(0.0), lambda m, x: F.when((x["w"] > m) & is_set(x["bit"]), x["w"].cast("double")).otherwise(m))
+    bounds = partial.join(vectors.select("nid", "light", "need"), "nid").withColumn("light_part", F.aggregate("light", F.lit(0.0), lambda a, group: a + most(group)))
+    left_over = cut(bounds.where(F.col("part") + F.col("light_part") >= F.col("need") - 1e-3).select("nid", "other"))
+
+    mine = vectors.select("nid", "ts", "self", "need")
+    theirs = vectors.select(F.col("nid").alias("other"), F.transform("ts", lambda x: x["t"]).alias("other_ts"))
+    joined = left_over.join(mine, "nid").join(theirs, "other")
+    shared = F.filter("ts", lambda x: F.array_contains(F.col("other_ts"), x["t"]))
+    scored = joined.select("nid", "other", "self", "need", F.explode(F.array(shared)).alias("shared"))
+    groups = F.array_distinct(F.transform("shared", lambda x: x["g"]))
+    best_of = lambda g: F.array_max(F.transform(F.filter("shared", lambda x: x["g"] == g), lambda x: x["w"]))
+    scored = scored.select("nid", "other", "self", "need", F.round(F.aggregate(groups, F.lit(0.0), lambda s, g: s + best_of(g).cast("double")), 4).alias("score")).where("score >= need")
+    source = indexed.select(F.col("nid").alias("other"), F.col("source").alias("other_source"))
+    order = Window.partitionBy("nid", "other_source").orderBy(F.col("score").desc(), "other")
+    ranked = scored.join(source, "other").withColumns({"nth": F.row_number().over(order), "next_score": F.coalesce(F.lead("score").over(order), F.lit(0.0))})
+    return ranked.where(F.col("nth") <= k).select("nid", F.col("other").alias("other_id"), "other_source", "score", (F.col("score") / F.col("self")).alias("share"), "nth", "next_score")
 
 
 def slips(a: str, b: str, most: int = 2) -> bool:
@@ -324,15 +359,18 @@ MATCH_SCHEMA = "left_node_id string, right_node_id string, node_type string, lef
 
 def mutual(nodes: DataFrame) -> DataFrame:
     """MATCH_SCHEMA: all pairs of nodes that are each other's best, with their confidence."""
-    indexed = cut(index_nodes(nodes))
+    indexed = index_nodes(nodes)
     best = search(indexed, k=1)
-    best = cut(best.select("node_type", "node_id", "other_id", "source", "other_source", "share", ((F.col("score") - F.col("next_score")) / F.col("score")).alias("gap")))
-    back = best.select("node_type", F.col("other_id").alias("node_id"), F.col("node_id").alias("other_id"), F.col("share").alias("share_back"), F.col("gap").alias("gap_back"))
-    pairs = best.where("node_id < other_id").join(back, ["node_type", "node_id", "other_id"])
-    known = indexed.select("node_type", "node_id", "features")
-    pairs = pairs.join(known.withColumnRenamed("features", "left_features"), ["node_type", "node_id"]).join(known.toDF("node_type", "other_id", "right_features"), ["node_type", "other_id"])
-    pairs = pairs.select(F.col("node_id").alias("left_node_id"), F.col("other_id").alias("right_node_id"), "node_type", F.col("source").alias("left_source"), F.col("other_source").alias("right_source"), F.greatest("share", "share_back").alias("share"), F.least("gap", "gap_back").alias("gap"), "left_features", "right_features")
-    return pairs.mapInPandas(_judge, MATCH_SCHEMA)
+    best = cut(best.select("nid", "other_id", "share", ((F.col("score") - F.col("next_score")) / F.col("score")).alias("gap")))
+    back = best.select(F.col("other_id").alias("nid"), F.col("nid").alias("other_id"), F.col("share").alias("share_back"), F.col("gap").alias("gap_back"))
+    pairs = best.where("nid < other_id").join(back, ["nid", "other_id"])
+    known = indexed.select("nid", "node_type", F.struct("node_id", "source", "features").alias("a"))
+    pairs = pairs.join(known, "nid").join(known.select(F.col("nid").alias("other_id"), F.col("a").alias("b")), "other_id")
+    # the smaller id goes first
+    turned = F.col("a.node_id") > F.col("b.node_id")
+    pairs = pairs.select("node_type", F.greatest("share", "share_back").alias("share"), F.least("gap", "gap_back").alias("gap"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("l"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("r"))
+    side = lambda s, name: [F.col(f"{s}.node_id").alias(f"{name}_node_id"), F.col(f"{s}.source").alias(f"{name}_source"), F.col(f"{s}.features").alias(f"{name}_features")]
+    return pairs.select("node_type", "share", "gap", *side("l", "left"), *side("r", "right")).mapInPandas(_judge, MATCH_SCHEMA)
 
 
 def matches(nodes: DataFrame, least: float = 0.5) -> DataFrame:
