@@ -25,7 +25,8 @@ def bm25_scores(documents: DataFrame, query: str, group: str | None = None) -> D
     toks = tokens(F.coalesce(F.col("text"), F.lit("")))
     counted = documents.select(*keys, "id", F.explode(F.array(toks)).alias("toks"))
     unique = list(dict.fromkeys(terms)) or [""]
-    hits = [F.size(F.filter("toks", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(unique)]
+    times = lambda w: F.size(F.filter("toks", lambda t: t == F.lit(w)))
+    hits = [times(w).alias(f"tf{i}") for i, w in enumerate(unique)]
     counted = counted.select(*keys, "id", F.size("toks").alias("len"), *hits)
     stats = counted.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(unique))])
     # one row of statistics, or one per group

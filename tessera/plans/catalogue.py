@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, reference_queries, reference_sql
 
-QUERIES: dict[str, problems.Query] = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems.SQL}
+QUERIES: dict[str, problems.Query] = {**problems.QUERIES, **reference_queries.QUERIES}
+SQL: dict[str, str] = {**problems.SQL, **reference_sql.SQL}
