@@ -111,9 +111,10 @@ def as_known(events: DataFrame, facts: DataFrame, keys: list[str], period_second
     best_first = Window.partitionBy(*keys, "period").orderBy("kind", *rank)
     whole = best_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     outlived = F.max(F.when(F.col("kind") == 0, F.col("known_to"))).over(best_first.rowsBetween(Window.unboundedPreceding, -1))
-    log = log.withColumns({"wanted": F.max("kind").over(whole) == 1, "kept": (F.col("kind") == 0) & (F.col("known_to") > F.coalesce(outlived, (F.col("period") + 1) * p))})
+    log = log.withColumns({"wanted": F.max("kind").over(whole) == 1, "kept": (F.col("kind") == 0) & (F.col("known_to") > F.greatest(F.coalesce(outlived, F.lit(0)), (F.col("period") + 1) * p))})
     fact = ["known_to", "recorded_at", "valid_from", "id"]
-    of_period = log.where(F.col("kept") & (F.col("known_to") > (F.col("period") + 1) * p)).select(*keys, "period", *fact)
+    # the test of `at` holds always; with it this branch reads the same columns as the last one and shares its shuffle
+    of_period = log.where(F.col("kept") & (F.col("at") < F.col("known_to"))).select(*keys, "period", *fact)
 
     # the same per epoch
     epoch = F.floor(F.col("period") / EPOCH_PERIODS).cast("long")
