@@ -246,8 +246,9 @@ def search(indexed: DataFrame, k: int = 2) -> DataFrame:
     mine = vectors.select("nid", "ts", "self", "need")
     theirs = vectors.select(F.col("nid").alias("other"), F.transform("ts", lambda x: x["t"]).alias("other_ts"))
     joined = left_over.join(mine, "nid").join(theirs, "other")
-    shared = F.filter("ts", lambda x: F.array_contains(F.col("other_ts"), x["t"]))
-    scored = joined.select("nid", "other", "self", "need", F.explode(F.array(shared)).alias("shared"))
+    # the intersection goes by hash, so few tokens are left to be looked for one by one
+    common = joined.select("nid", "other", "self", "need", "ts", F.explode(F.array(F.array_intersect(F.transform("ts", lambda x: x["t"]), F.col("other_ts")))).alias("common"))
+    scored = common.select("nid", "other", "self", "need", F.explode(F.array(F.filter("ts", lambda x: F.array_contains(F.col("common"), x["t"])))).alias("shared"))
     groups = F.array_distinct(F.transform("shared", lambda x: x["g"]))
     best_of = lambda g: F.array_max(F.transform(F.filter("shared", lambda x: x["g"] == g), lambda x: x["w"]))
     scored = scored.select("nid", "other", "self", "need", F.round(F.aggregate(groups, F.lit(0.0), lambda s, g: s + best_of(g).cast("double")), 4).alias("score")).where("score >= need")
