@@ -99,7 +99,9 @@ def as_known(events: DataFrame, facts: DataFrame, keys: list[str], period_second
     without time or with a null in the key give none; repeated events give one row each.
     """
     p = period_seconds
-    period = lambda c: F.floor(c / p).cast("long")
+    # known not to be null, or else the optimizer adds other null tests to each branch below, and each shuffles on its own
+    part = lambda c, size: F.coalesce(F.floor(c / size).cast("long"), F.lit(0))
+    period = lambda c: part(c, p)
     no = F.lit(None).cast("long")
     asked = events.where("at is not null").select(*keys, period(F.col("at")).alias("period"), F.lit(1).alias("kind"), "at", no.alias("known_to"), no.alias("recorded_at"), no.alias("valid_from"), F.col("event_id").alias("id"))
     known = facts.select(*keys, period(F.col("known_from")).alias("period"), F.lit(0).alias("kind"), F.col("known_from").alias("at"), "known_to", "recorded_at", "valid_from", F.col("fact_id").alias("id"))
@@ -110,14 +112,15 @@ def as_known(events: DataFrame, facts: DataFrame, keys: list[str], period_second
     rank = [F.col("recorded_at").desc(), F.col("valid_from").desc(), F.col("id").desc()]
     best_first = Window.partitionBy(*keys, "period").orderBy("kind", *rank)
     whole = best_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    outlived = F.max(F.when(F.col("kind") == 0, F.col("known_to"))).over(best_first.rowsBetween(Window.unboundedPreceding, -1))
+    outlived = F.max("known_to").over(best_first.rowsBetween(Window.unboundedPreceding, -1))  # events have none
     log = log.withColumns({"wanted": F.max("kind").over(whole) == 1, "kept": (F.col("kind") == 0) & (F.col("known_to") > F.greatest(F.coalesce(outlived, F.lit(0)), (F.col("period") + 1) * p))})
     fact = ["known_to", "recorded_at", "valid_from", "id"]
-    # the test of `at` holds always; with it this branch reads the same columns as the last one and shares its shuffle
+    # the test of `at` holds always; with it, and with plain columns in the windows, this branch shuffles the same as the
+    # last one, and Spark does it once
     of_period = log.where(F.col("kept") & (F.col("at") < F.col("known_to"))).select(*keys, "period", *fact)
 
     # the same per epoch
-    epoch = F.floor(F.col("period") / EPOCH_PERIODS).cast("long")
+    epoch = part(F.col("period"), EPOCH_PERIODS)
     of_epoch = of_period.withColumn("epoch", epoch).where(F.col("known_to") > (F.col("epoch") + 1) * EPOCH_PERIODS * p)
     by_epoch = Window.partitionBy(*keys, "epoch").orderBy(*rank)
     outlived = F.max("known_to").over(by_epoch.rowsBetween(Window.unboundedPreceding, -1))
