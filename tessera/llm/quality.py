@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 COMMON_WORDS = {
     "en": "the of and to in is was that for on with as by at from it its be were are this these those had not which who what or an been has have but they their them we our us you he she his her after before between while because if when where than then so no nor neither only one ones each all some any more most other same such would should could can will may might must into over under about against during through until near per also there here out up down did does do",
     "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine einen einer eines einem als auch es an werden aus er sie wir hat haben dass daß nach wird bei um am sind noch wie über zum zur war waren wurde wurden nur oder aber vor bis mehr durch man sein seine ihre dieser diese dieses ob denn wenn weil zwischen unter gegen während",
-    "fr": "de la le les et des en un une du que qui est pour dans par plus pas au aux sur ne se ce cette ces il elle ils elles sont avec ou où mais comme son sa ses leur été être ont avait avaient a à on nous vous après avant entre car si dont tandis seulement chez lors l d n s c qu",
+    "fr": "de la le les et des en un une du que qui est pour dans par plus pas au aux sur ne se ce cette ces il elle ils elles sont avec ou où mais comme son sa ses leur été être ont avait avaient a à on nous vous après avant entre car si dont tandis seulement chez lors qu",
     "es": "de la el los las y en que un una por con para del al lo su sus se como más pero fue fueron era eran es son ha han había entre sin sobre ya no ni o si desde hasta cuando porque según durante después antes también esta este estos estas otras otros cuya cuyo",
 }
 #: Characters that wrongly decoded text is full of.
 GARBLED = "ÂÃãâ€œ¤§¶©¢¬�"
 #: Marks at the start of a list item.
 BULLET = r"^(?:[-*+•–—‣◦▪●○·#>~=]+|[#(]?\d{1,3}[.):\]]|#\d+|\(?[A-Za-z][.)]|\[[ xX]?\])\s"
-#: Cell borders: tabs, pipes, tags, wide blanks, arrows and guillemets between menu entries.
-CELLS = r"[\t|»›→]|</?[a-zA-Z]| {3,}\S"
+#: Cell borders: tabs, pipes, tags, wide blanks, signs between menu entries.
+CELLS = r"[\t|»›→]|</?[a-zA-Z]| {3,}\S|(?: [/·•>] [^/·•>]*){3}"
+#: So many characters without a blank are no words.
+UNBROKEN = r"\S{45}"
 CLOSED = r"[.!?…]['\"”’»)\]]*$"
 #: A line this long may be a sentence of its own; a shorter one from MIN_BROKEN on may be part of a broken paragraph.
 MIN_SENTENCE, MIN_BROKEN = 80, 38
@@ -46,7 +48,7 @@ def document_stats(documents: DataFrame) -> DataFrame:
 
     chars (without blanks at the ends of lines), words, common_words, word_chars, symbols, lines (not blank), closed_lines
     (ending in punctuation), bullet_lines, table_lines, and the characters of each kind of line: prose_chars, bullet_chars,
-    table_chars, symbol_chars (mostly figures and signs), uncommon_chars (hardly a common word), fragment_chars (headings
+    table_chars, symbol_chars (mostly figures and signs, or no blanks), uncommon_chars (hardly a common word), fragment_chars (headings
     and items: short, not closed), broken_chars (not closed, but beside others like it), garbled_chars. Null texts count as empty: all zero.
     """
     common = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
@@ -69,9 +71,9 @@ def document_stats(documents: DataFrame) -> DataFrame:
                 .when(line.rlike(BULLET), "bullet")
                 .when(line.rlike(CELLS), "table")
                 .when(size - _left(line, f"[{GARBLED}]+") > MAX_GARBLED * size, "garbled")
-                .when(_left(line, r"[^\p{L} ]+") < MIN_LETTERS * size, "symbol")
-                .when(known < MIN_COMMON * n, "uncommon")
+                .when((_left(line, r"[^\p{L} ]+") < MIN_LETTERS * size) | line.rlike(UNBROKEN), "symbol")
                 .when(~running | (n < MIN_WORDS), "fragment")
+                .when(known < MIN_COMMON * n, "uncommon")
                 .when(closed | (size >= MIN_SENTENCE), "prose")
                 .otherwise("broken")
             )
