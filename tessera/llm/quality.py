@@ -9,6 +9,8 @@ larger part of its characters.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,10 @@ GARBLED = "ÂÃãâ€œ¤§¶©¢¬�"
 #: Marks at the start of a list item.
 BULLET = r"^(?:[-*+•–—‣◦▪●○·#>~=]+|[#(]?\d{1,3}[.):\]]|#\d+|\(?[A-Za-z][.)]|\[[ xX]?\])\s"
 #: Cell borders: tabs, pipes, tags, wide blanks, signs between menu entries.
-CELLS = r"[\t|»›→]|</?[a-zA-Z]| {3,}\S|(?: [/·•>] [^/·•>]*){3}"
-#: So many characters without a blank are no words.
-UNBROKEN = r"\S{45}"
+CELLS = r"[\t|»›→]|</?[a-zA-Z]| {3,}\S"
+MENU = r"(?: [/·•>] [^/·•>]*){3}"
+#: A line with fewer than one blank in so many characters holds no words.
+UNBROKEN = 45
 CLOSED = r"[.!?…]['\"”’»)\]]*$"
 #: A line this long may be a sentence of its own; a shorter one from MIN_BROKEN on may be part of a broken paragraph.
 MIN_SENTENCE, MIN_BROKEN = 80, 38
@@ -53,7 +56,9 @@ def document_stats(documents: DataFrame) -> DataFrame:
     """
     common = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r \u0085]"), lambda x: F.rtrim(x))
-    cut = documents.select("doc_id", F.explode(F.array(lines)).alias("lines"))
+    text = F.coalesce("text", F.lit(""))
+    whole = [_left(text, r"[^\p{L}\p{N}]+").alias("word_chars"), _left(text, r"[\p{L}\p{N}\s]+").alias("symbols")]
+    cut = documents.select("doc_id", *whole, F.explode(F.array(lines)).alias("lines"))
 
     def is_closed(line: Column) -> Column:
         return F.right(line, F.lit(4)).rlike(CLOSED)
@@ -69,15 +74,15 @@ def document_stats(documents: DataFrame) -> DataFrame:
             kind = (
                 F.when(size == 0, "blank")
                 .when(line.rlike(BULLET), "bullet")
-                .when(line.rlike(CELLS), "table")
+                .when(line.rlike(CELLS) | (reduce(Column.__or__, [line.contains(f" {c} ") for c in "/·•>"]) & line.rlike(MENU)), "table")
                 .when(size - _left(line, f"[{GARBLED}]+") > MAX_GARBLED * size, "garbled")
-                .when((_left(line, r"[^\p{L} ]+") < MIN_LETTERS * size) | line.rlike(UNBROKEN), "symbol")
+                .when((_left(line, r"[^\p{L} ]+") < MIN_LETTERS * size) | ((size >= UNBROKEN) & ((size - F.length(F.replace(line, F.lit(" "), F.lit("")))) * UNBROKEN < size)), "symbol")
                 .when(~running | (n < MIN_WORDS), "fragment")
                 .when(known < MIN_COMMON * n, "uncommon")
                 .when(closed | (size >= MIN_SENTENCE), "prose")
                 .otherwise("broken")
             )
-            return F.struct(size.alias("size"), n.alias("words"), known.alias("known"), closed.alias("closed"), _left(line, r"[^\p{L}\p{N}]+").alias("word_chars"), _left(line, r"[\p{L}\p{N}\s]+").alias("symbols"), kind.alias("kind"))
+            return F.struct(size.alias("size"), n.alias("words"), known.alias("known"), closed.alias("closed"), kind.alias("kind"))
 
         def counts(x: Column) -> Column:
             line, words = x["line"], x["words"]
@@ -88,12 +93,12 @@ def document_stats(documents: DataFrame) -> DataFrame:
 
         def words_of(line: Column) -> Column:
             # figures with their signs and abbreviations like n/a are no words
-            plain = F.regexp_replace(F.lower(line), r"\p{L}*/\p{L}*", "/")
+            plain = F.when(line.contains("/"), F.regexp_replace(F.lower(line), r"\p{L}*/\p{L}*", "/")).otherwise(F.lower(line))
             return _bind(F.struct(line.alias("line"), F.split(plain, r"[^\p{L}]+").alias("words")), counts)
 
         return _bind(F.btrim(raw, F.lit(" \t")), words_of)
 
-    measured = cut.select("doc_id", F.explode(F.array(F.transform("lines", measure))).alias("m"))
+    measured = cut.select("doc_id", "word_chars", "symbols", F.explode(F.array(F.transform("lines", measure))).alias("m"))
     total = lambda pick: F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + pick(x))
     of = lambda kind, what: total(lambda x: F.when(x["kind"] == kind, what(x)).otherwise(0))
     one = lambda x: F.lit(1)
@@ -103,8 +108,8 @@ def document_stats(documents: DataFrame) -> DataFrame:
         total(size).alias("chars"),
         total(lambda x: x["words"]).alias("words"),
         total(lambda x: x["known"]).alias("common_words"),
-        total(lambda x: x["word_chars"]).alias("word_chars"),
-        total(lambda x: x["symbols"]).alias("symbols"),
+        F.col("word_chars").cast("long").alias("word_chars"),
+        F.col("symbols").cast("long").alias("symbols"),
         total(lambda x: F.when(x["size"] > 0, 1).otherwise(0)).alias("lines"),
         total(lambda x: F.when(x["closed"], 1).otherwise(0)).alias("closed_lines"),
         of("bullet", one).alias("bullet_lines"),
