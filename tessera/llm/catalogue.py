@@ -73,4 +73,4 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_sizes, p6_found, p6_matches, p7_found, p7_containers, p7_fill, p8_found, p8_spans, p8_items, p9_found, p9_stats)}
-SQL: dict[str, str] = {"p4_found": sql.P4_FOUND, "p4_sizes": sql.P4_SIZES}
+SQL: dict[str, str] = {"p4_found": sql.P4_FOUND, "p4_sizes": sql.P4_SIZES, "p7_found": sql.P7_FOUND}
