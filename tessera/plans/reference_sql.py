@@ -212,3 +212,73 @@ union select run_id, 'quarantined_episode', source_episode_id, 'error' from u wh
 union select run_id, 'legacy_episode', source_episode_id, 'warning' from u where injection_risk = 'unverified-legacy'""",
 }
 
+
+
+_LAST = f"(select * from {DECISIONS} where claim_id is not null qualify row_number() over (partition by run_id, claim_id order by created_at desc nulls last, decision_id desc) = 1)"
+_MATERIAL = "coalesce(json_extract_string(case when json_valid(data_json) then data_json end, '$.material'), 'true') <> 'false'"
+_PLAIN = lambda c: f"trim(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'))"
+_JSON = "case when json_valid(data_json) then data_json end"
+_BLOCKS = f"""
+n as (select run_id, node_id, node_type, json_extract_string({_JSON}, '$.name') as name, json_extract({_JSON}, '$.identifiers') as ids, json_extract_string({_JSON}, '$.aliases[*]') as aliases
+      from {NODES} where node_type in ('Organization', 'Product', 'Facility')),
+words as (
+  select run_id, node_id, node_type || ':name:' || split_part({_PLAIN('name')}, ' ', 1) as key, split_part({_PLAIN('name')}, ' ', 1) as w from n
+  union all select run_id, node_id, node_type || ':alias:' || split_part({_PLAIN('a')}, ' ', 1), split_part({_PLAIN('a')}, ' ', 1) from (select run_id, node_id, node_type, unnest(aliases) as a from n)),
+ids as (
+  select run_id, node_id, node_type || ':id:' || k || ':' || {_PLAIN('v')} as key
+  from (select run_id, node_id, node_type, k, json_extract_string(ids, '$.' || k) as v from (select run_id, node_id, node_type, ids, unnest(json_keys(ids)) as k from n where ids is not null)) where v <> ''),
+keys as (select distinct run_id, node_id, key from words where w <> '' union select distinct run_id, node_id, key from ids),
+pairs as (select distinct a.run_id, a.node_id as left_id, b.node_id as right_id from keys a join keys b on a.run_id = b.run_id and a.key = b.key and a.node_id < b.node_id)"""
+
+
+def _relations(where: str) -> str:
+    return f"""select 'relation' as kind, e.edge_type as name, min(f.node_type) as domain, max(t.node_type) as range
+from {EDGES} e join {NODES} f on f.run_id = e.run_id and f.node_id = e.from_id join {NODES} t on t.run_id = e.run_id and t.node_id = e.to_id where {where} group by e.edge_type"""
+
+
+SQL |= {
+    "node_ids": f"select run_id, node_id, 'node:' || {_hash(['node_type', 'data_json'])} as long_id, 'node:' || {_hash(['lower(trim(node_type))', 'node_id'], 16)} as stable_id from {NODES}",
+    "audit_metrics": f"""
+with t as {TASKS}, n as (select * from {NODES} where node_type = 'Claim'), e as {EDGES}, ep as {EPISODES}, last as {_LAST},
+u as (select distinct e.run_id, e.source_episode_id, ep.injection_risk from e left join ep on ep.run_id = e.run_id and ep.episode_id = e.source_episode_id where e.source_episode_id is not null)
+select run_id, 'tasks' as metric, count(*) as value from t group by 1 union all
+select run_id, 'incomplete_tasks', count(*) filter (coalesce(state <> 'SUCCEEDED', true)) from t group by 1 union all
+select run_id, 'claims', count(*) from n group by 1 union all
+select run_id, 'material_claims', count(*) filter ({_MATERIAL}) from n group by 1 union all
+select run_id, 'adjudicated_claims', count(*) from last group by 1 union all
+select run_id, coalesce(status, 'unknown') || '_claims', count(*) from last group by run_id, status union all
+select run_id, 'source_episodes', count(*) from ep group by 1 union all
+select run_id, 'used_source_episodes', count(*) from u group by 1 union all
+select run_id, 'quarantined_sources_used', count(*) filter (injection_risk = 'quarantine') from u group by 1 union all
+select run_id, 'legacy_unverified_sources', count(*) filter (injection_risk = 'unverified-legacy') from u group by 1""",
+    "report_lines": f"""
+with n as (select run_id, node_id as claim_id, coalesce(nullif(json_extract_string({_JSON}, '$.text'), ''), nullif(json_extract_string({_JSON}, '$.claim'), ''), node_id) as text from {NODES} where node_type = 'Claim'),
+e as {EDGES}, ep as {EPISODES},
+last as (select run_id, claim_id, case when status = 'supported' then 'verified' else status end as status, coalesce(support_edge_ids, []) as s, coalesce(contradiction_edge_ids, []) as c, coalesce(source_episode_ids, []) as src from {_LAST}),
+b as (select n.*, l.status, l.s, l.c, l.src from n left join last l on l.run_id = n.run_id and l.claim_id = n.claim_id),
+p as (select * from b where status in ('verified', 'contested')),
+against as (select x.run_id, x.claim_id, list_sort(list_distinct(list(e.source_episode_id))) as a from (select run_id, claim_id, unnest(c) as edge_id from p where status = 'contested') x join e on e.run_id = x.run_id and e.edge_id = x.edge_id group by 1, 2)
+select run_id, 'findings' as section, claim_id as subject_id, '- ' || text || ' ' || array_to_string(['[C:' || claim_id || ']'] || list_transform(s, lambda x: '[E:' || x || ']') || list_transform(src, lambda x: '[S:' || x || ']'), ' ') as line from p
+union all select p.run_id, 'conflicts', p.claim_id, '- ' || text || ' remains contested. ' || array_to_string(['[C:' || p.claim_id || ']'] || list_transform(c, lambda x: '[E:' || x || ']') || list_transform(list_filter(coalesce(a, []), lambda x: x is not null), lambda x: '[S:' || x || ']'), ' ') from p left join against using (run_id, claim_id) where status = 'contested'
+union all select run_id, 'gaps', claim_id, '- `' || claim_id || '` has no publishable adjudication.' from b where coalesce(status not in ('verified', 'contested'), true)
+union all select run_id, 'sources', episode_id, '- `' || episode_id || '` — ' || coalesce(locator, '') || ' — hash `' || coalesce(content_hash, '') || '` — risk `' || coalesce(injection_risk, '') || '` [S:' || episode_id || ']' from (select distinct run_id, unnest(src) as episode_id from p) join ep using (run_id, episode_id)""",
+    "capability_check": f"""
+with t as {TASKS}, d as {DEPS},
+made as (select d.run_id, d.task_id, list_distinct(list(lower(trim(a)))) as available from d join (select run_id, task_id, unnest(produces) as a from t) p on p.run_id = d.run_id and p.task_id = d.depends_on group by 1, 2),
+j as (select t.run_id, t.task_id, m.available, list_sort(list_filter(list_distinct(list_transform(coalesce(t.consumes, []), lambda x: lower(trim(x)))), lambda x: not list_contains(coalesce(m.available, []), x))) as lacking from t left join made m on m.run_id = t.run_id and m.task_id = t.task_id)
+select run_id, task_id, array_to_string(lacking, ',') as missing, available is not null and len(lacking) = 0 as passed from j""",
+    "ontology_evolution": f"""
+with o as ({_relations("e.recorded_at <= timestamp '2023-03-01'")}), n as ({_relations('true')})
+select coalesce(o.kind, n.kind) as kind, coalesce(o.name, n.name) as name, case when n.name is null then 'removed' when o.name is null then 'added' else 'signature_changed' end as change, o.name is not null as breaking
+from o full join n on o.kind = n.kind and o.name = n.name where o.name is null or n.name is null or o.domain is distinct from n.domain or o.range is distinct from n.range""",
+    "claim_accuracy": f"""
+with v as ({SQL['claim_status']}), s as (select run_id, claim_id, coalesce(case when status = 'supported' then 'verified' else status end, 'none') as category from {_LAST}),
+c as (select category, category = v.status as passed from s join v using (run_id, claim_id))
+select category, count(*) as cases, count(*) filter (passed) as passed, round(avg(passed::int::double), 6) as accuracy from c group by rollup (category)""",
+    "er_candidate_pairs": f"with {_BLOCKS} select * from pairs",
+    "er_neighbour_jaccard": f"""
+with {_BLOCKS}, {_BOTH.strip().replace('links as', 'near as')},
+sets as (select run_id, node_id, list(next_id) as s from near group by 1, 2)
+select p.run_id, left_id, right_id, round(case when len(list_distinct(coalesce(a.s, []) || coalesce(b.s, []))) = 0 then 0.0 else len(list_intersect(coalesce(a.s, []), coalesce(b.s, [])))::double / len(list_distinct(coalesce(a.s, []) || coalesce(b.s, []))) end, 6) as neighborhood
+from pairs p left join sets a on a.run_id = p.run_id and a.node_id = left_id left join sets b on b.run_id = p.run_id and b.node_id = right_id""",
+}
