@@ -18,6 +18,7 @@ import json
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,7 +31,7 @@ from ..sources.runstore import clean_id
 NODE_TYPES = ("Organization", "Product", "Facility")
 #: The share of a node's own score that a match needs at least. Tokens occur once in a node and lengths tell nothing here
 #: (b = 0), so BM25's term frequency factor is 1 for any k1.
-LEAST_SHARE = 0.25
+LEAST_SHARE = 0.2
 #: Weight of a word with a letter left out against that of the word.
 FUZZY = 0.7
 
@@ -165,14 +166,16 @@ def tokens(f: dict) -> list[tuple[int, str, float]]:
 
 
 def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        known = [features(x) for x in pdf["data_json"].tolist()]
-        yield pd.DataFrame({
-            "node_id": pdf["node_id"], "node_type": pdf["node_type"],
-            "source": [f["source"] for f in known],
-            "features": [json.dumps(f) for f in known],
-            "tokens": [[{"g": g, "t": t, "x": x} for g, t, x in tokens(f)] for f in known],
-        })
+    for whole in batches:
+        for at in range(0, len(whole), 1000):  # the tokens of a batch take far more memory than its texts
+            pdf = whole.iloc[at : at + 1000]
+            known = [features(x) for x in pdf["data_json"].tolist()]
+            yield pd.DataFrame({
+                "node_id": pdf["node_id"].tolist(), "node_type": pdf["node_type"].tolist(),
+                "source": [f["source"] for f in known],
+                "features": [json.dumps(f) for f in known],
+                "tokens": [[{"g": g, "t": t, "x": x} for g, t, x in tokens(f)] for f in known],
+            })
 
 
 NODE_SCHEMA = "node_id string, node_type string, source string, features string, tokens array<struct<g:int,t:string,x:double>>"
@@ -285,8 +288,7 @@ def same_word(a: str, b: str) -> bool:
         return False
     if len(short) == 3:
         return set(short) <= set(long[:5])
-    letters = iter(long)
-    return slips(short, long[: len(short)], 1) or all(c in letters for c in short)
+    return slips(short, long[: len(short)], 1) or not Counter(short) - Counter(long)
 
 
 #: What agreeing and conflicting attributes weigh, in the logistic function's units.
