@@ -69,3 +69,9 @@ def test_long_chain_nulls_and_empty(spark):
     assert rows(hierarchy.tasks_in_cycles(chain)) == []
     assert rows(hierarchy.tasks_in_cycles(deps(spark, ("a", None), ("b", ""), ("c", " \t"), (None, "a")))) == []
     assert rows(hierarchy.task_paths(chain.limit(0))) == []
+
+
+def test_clashing_columns(spark):
+    df = deps(spark, ("a", "b"), ("b", "a"), ("c", "b")).selectExpr("*", "1 as child", "2 as parent", "3 as component", "4 as node", "5 as up")
+    assert rows(hierarchy.tasks_in_cycles(df)) == [("r", "a"), ("r", "b")]
+    assert len(rows(hierarchy.task_descendants(df))) == 6

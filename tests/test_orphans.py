@@ -26,3 +26,17 @@ def test_filter_is_bounded_and_never_wrong(spark):
     refs = spark.range(10000).selectExpr("'t' as table_name", "'r' as run_id", "concat('row', id) as row_id", "concat('p', id) as ref_id", "1L as ref_time")
     assert orphans.orphans(refs, many).count() == 5000
     assert orphans.orphan_counts(orphans.orphans(refs, many)).first().orphans == 5000
+
+
+def test_run_store_tables_with_nulls_repeats_and_clashing_columns(spark):
+    from .helpers import edge, edges, t
+
+    deps = spark.createDataFrame([("r", "a", " P ", t(1)), ("r", "a", "p", t(9)), ("r", "b", None, t(1)), ("r", "c", " ", None), (None, None, None, None)], "run_id string, task_id string, depends_on string, registered_at timestamp_ntz")
+    verifications = spark.createDataFrame([("r", "d1", "c1", t(5)), ("r", None, "c2", None)], "run_id string, decision_id string, claim_id string, created_at timestamp_ntz")
+    refs = orphans.run_store_references(deps.selectExpr("*", "1 as ref_id", "2 as row_id"), edges(spark, edge("e1", 0, source="ep")), verifications)
+    assert rows(refs, "table_name", "row_id", "ref_id") == [("claim_verifications", "d1", "c1"), ("claim_verifications", None, "c2"), ("graph_edges", "e1", "ep"), ("task_dependencies", "a", "p")]
+    tasks = spark.createDataFrame([("r", "P", t(3), None), ("r", "p", t(0), None)], "run_id string, task_id string, registered_at timestamp_ntz, deleted_at timestamp_ntz")
+    episodes = spark.createDataFrame([("r", "ep", t(7), None)], "run_id string, episode_id string, retrieved_at timestamp_ntz, deleted_at timestamp_ntz")
+    nodes = spark.createDataFrame([("r", "c1", "Claim", t(0), t(5)), ("r", "c2", "Product", t(0), None)], "run_id string, node_id string, node_type string, created_at timestamp_ntz, deleted_at timestamp_ntz")
+    got = {(r.table_name, r.ref_id): r.reason for r in orphans.orphans(refs, orphans.run_store_parents(tasks, episodes, nodes)).collect()}
+    assert got == {("graph_edges", "ep"): "later", ("claim_verifications", "c1"): "deleted", ("claim_verifications", "c2"): "missing"}
