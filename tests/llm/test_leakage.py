@@ -88,3 +88,9 @@ def test_same_passage_twice_clashing_columns_and_bound(spark):
         raise AssertionError("not refused")
     except ValueError:
         pass
+
+
+def test_a_very_long_text(spark):
+    text = "nothing of note here " * 50_000 + " ".join(WORDS) + " and on it goes" * 50_000
+    row = leakage.leaks(docs(spark, [text]), items(spark, [" ".join(WORDS)])).first()
+    assert row.words == len(WORDS) and text[row.char_from : row.char_to] == " ".join(WORDS)

@@ -80,3 +80,10 @@ def test_empty_table_and_repeats(spark):
     assert packing.pack(docs(spark, []), budgets(spark, 8)).count() == 0
     twice = docs(spark, ["a b"]).unionByName(docs(spark, ["a b"])).selectExpr("*", "1 as size", "2 as shard", "3 as piece")
     assert packing.pack(twice, budgets(spark, 8, 0)).count() == 2
+
+
+def test_a_very_long_text(spark):
+    text = "wall loss of 3 mm, " * 50_000
+    df = docs(spark, [text, "x"])
+    got = packing.pack(df, budgets(spark, 1000)).where("doc_id = 0").collect()
+    assert sum(r.tokens for r in got) == len(GPT2.findall(text)) and max(r.tokens for r in got) == 1000
