@@ -29,8 +29,11 @@ def bm25_scores(documents: DataFrame, query: str, group: str | None = None) -> D
     hits = [times(w).alias(f"tf{i}") for i, w in enumerate(unique)]
     counted = counted.select(*keys, "id", F.size("toks").alias("len"), *hits)
     stats = counted.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(unique))])
-    # one row of statistics, or one per group
-    joined = counted.join(F.broadcast(stats), keys) if keys else counted.crossJoin(F.broadcast(stats))
+    if keys:
+        joined = counted.join(stats, keys)
+    else:  # one row of numbers, which go into the plan
+        row = stats.first()
+        joined = counted.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in stats.schema})
     score = F.lit(0.0)
     for w in terms:
         i = unique.index(w)
