@@ -1,13 +1,14 @@
 """Parent-child links to whole hierarchies: path, depth, root and descendants of every node, and the cycles.
 
-Method: connected components co-locate what belongs together; a depth-first search with node colouring walks each
-component, streaming through sorted partitions. Components of more than `component_links` links are never put into one
-task: they are worked on by the whole cluster (`cyclic_nodes`, and level-wise paths), with the same results.
+Method: connected components co-locate what belongs together; a depth-first search with node colouring finds the cycles
+of each component and a search by levels its paths, streaming through sorted partitions. Components of more than
+`component_links` links are never put into one task: they are worked on by the whole cluster (`cyclic_groups`, and
+level-wise paths). Paths and back edges are defined without the order of a search, so both ways give the same results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,21 +28,18 @@ def links_of(dependencies: DataFrame) -> DataFrame:
     return dependencies.select("run_id", clean_id("task_id").alias("child"), clean_id("depends_on").alias("parent")).where("run_id is not null and child is not null").distinct()
 
 
-def walk(children: dict[str, list[str]], roots: list[str], nodes: list[str]) -> tuple[dict[str, str | None], set[str], list[tuple[str, str]]]:
-    """Depth-first search with node colouring: via (the node from which each was found; None at a start), the nodes on
-    cycles, and the back edges (from, to). Starts with the roots; what no root reaches starts at its smallest node."""
+def walk(children: dict[str, list[str]], nodes: list[str]) -> dict[str, str]:
+    """Depth-first search with node colouring: the nodes on cycles, each with the greatest node of its strongly connected
+    group (a node that only names itself is a group of its own)."""
     colour = dict.fromkeys(nodes, WHITE)
-    via: dict[str, str | None] = {}
     order: dict[str, int] = {}
     low: dict[str, int] = {}
     open_nodes: list[str] = []
     is_open: set[str] = set()
-    cyclic: set[str] = set()
-    back: list[tuple[str, str]] = []
-    for start in [*roots, *nodes]:
+    cyclic: dict[str, str] = {}
+    for start in nodes:
         if colour[start] != WHITE:
             continue
-        via[start] = None
         stack = [(start, iter(children.get(start, ())))]
         colour[start], order[start], low[start] = GREY, len(order), len(order)
         open_nodes.append(start)
@@ -50,16 +48,13 @@ def walk(children: dict[str, list[str]], roots: list[str], nodes: list[str]) ->
             node, rest = stack[-1]
             for child in rest:
                 if colour[child] == WHITE:
-                    via[child] = node
                     colour[child], order[child], low[child] = GREY, len(order), len(order)
                     open_nodes.append(child)
                     is_open.add(child)
                     stack.append((child, iter(children.get(child, ()))))
                     break
-                if colour[child] == GREY:
-                    back.append((node, child))
-                    if child == node:
-                        cyclic.add(node)
+                if child == node:
+                    cyclic[node] = node
                 if child in is_open:
                     low[node] = min(low[node], order[child])
             else:
@@ -76,8 +71,30 @@ def walk(children: dict[str, list[str]], roots: list[str], nodes: list[str]) ->
                         if other == node:
                             break
                     if len(group) > 1:
-                        cyclic.update(group)
-    return via, cyclic, back
+                        cyclic.update(dict.fromkeys(group, max(group)))
+    return cyclic
+
+
+def levels(children: dict[str, list[str]], roots: list[str], cyclic: Iterable[str]) -> tuple[dict[str, str | None], dict[str, int]]:
+    """Search by levels: via (the node before each on its path; None at a start) and depth of every node, in the order of
+    (start, depth, path). From all roots at once, each node gets the smallest of its shortest paths; then the nodes on
+    cycles that are left start one by one, from the smallest."""
+    via: dict[str, str | None] = {}
+    depth: dict[str, int] = {}
+    for starts in [roots, *([x] for x in sorted(cyclic))]:
+        todo = [x for x in starts if x not in via]
+        for x in todo:
+            via[x], depth[x] = None, 0
+        # a level in the order of its paths leaves the next one in that order: the first to find a node is its smallest way
+        while todo:
+            fresh = []
+            for node in todo:
+                for child in children.get(node, ()):
+                    if child not in via:
+                        via[child], depth[child] = node, depth[node] + 1
+                        fresh.append(child)
+            todo = fresh
+    return via, depth
 
 
 def component_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, str], list[tuple[str, str | None]]]]:
@@ -110,8 +127,8 @@ def _children(links: list[tuple[str, str | None]]) -> tuple[dict[str, list[str]]
 
 def _cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for (run, _), links in component_groups(batches):
-        children, roots, nodes = _children(links)
-        _, cyclic, _ = walk(children, roots, nodes)
+        children, _, nodes = _children(links)
+        cyclic = walk(children, nodes)
         if cyclic:
             yield pd.DataFrame({"run_id": run, "task_id": sorted(cyclic)})
 
@@ -119,7 +136,12 @@ def _cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _back_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for (run, _), links in component_groups(batches):
         children, roots, nodes = _children(links)
-        _, _, back = walk(children, roots, nodes)
+        group = walk(children, nodes)
+        if not group:
+            continue
+        via, _ = levels(children, roots, group)
+        place = {node: i for i, node in enumerate(via)}  # a group has one start, so this is the order of (depth, path)
+        back = [(a, b) for a in sorted(group) for b in children.get(a, ()) if group.get(b) == group[a] and place[b] <= place[a]]
         if back:
             yield pd.DataFrame({"run_id": run, "from_id": [a for a, _ in back], "to_id": [b for _, b in back]})
 
@@ -127,13 +149,16 @@ def _back_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _paths(batches: Iterator[pd.DataFrame], most: int = 2000) -> Iterator[pd.DataFrame]:
     for (run, _), links in component_groups(batches):
         children, roots, nodes = _children(links)
-        via, cyclic, _ = walk(children, roots, nodes)
-        path: dict[str, list[str]] = {}
+        cyclic = walk(children, nodes)
+        via, depth = levels(children, roots, cyclic)
         rows: list[tuple] = []
-        for node in via:  # found from the start on: whoever found it comes first
-            before = path[via[node]] if via[node] is not None else []
-            path[node] = [*before, node]
-            rows.append((run, node, path[node][0], len(before), path[node], node in cyclic))
+        for node in via:
+            path, up = [node], via[node]
+            while up is not None:
+                path.append(up)
+                up = via[up]
+            path.reverse()
+            rows.append((run, node, path[0], depth[node], path, node in cyclic))
             if len(rows) >= most:
                 yield pd.DataFrame(rows, columns=PATH_COLUMNS)
                 rows = []
@@ -177,13 +202,14 @@ def co_located(links: DataFrame, component_links: int) -> tuple[DataFrame, DataF
     return small.repartition("run_id", "component").sortWithinPartitions("run_id", "component"), named.join(large, ["run_id", "component"], "left_semi")
 
 
-def cyclic_nodes(links: DataFrame) -> DataFrame:
-    """run_id, task_id of the nodes on cycles of (run_id, child, parent), by the whole cluster, for any component size.
+def cyclic_groups(links: DataFrame) -> DataFrame:
+    """run_id, task_id, group_id (the greatest node of its strongly connected group) of the nodes on cycles of (run_id,
+    child, parent), by the whole cluster, for any component size.
 
     Nodes without a remaining parent or child are stripped round by round; of the rest, the greatest label that reaches
     each node colours it, and going back from where a colour began gives one strongly connected group per colour and round.
     """
-    loops = links.where("child = parent").select("run_id", F.col("child").alias("task_id")).distinct()
+    loops = links.where("child = parent").select("run_id", F.col("child").alias("task_id"), F.col("child").alias("group_id")).distinct()
     left = cut(links.where("parent is not null and child <> parent").select("run_id", "child", "parent").distinct())
     found = [loops]
     while True:
@@ -209,7 +235,7 @@ def cyclic_nodes(links: DataFrame) -> DataFrame:
             left.join(colour.select("run_id", F.col("node").alias("child"), "colour"), ["run_id", "child"])
             .join(colour.select("run_id", F.col("node").alias("parent"), F.col("colour").alias("other")), ["run_id", "parent"])
             .where("colour = other")
-            .select("run_id", "child", "parent")
+            .select("run_id", "child", "parent", "colour")
         )
         group = cut(colour.where("node = colour").select("run_id", "node"))
         fresh = group
@@ -221,12 +247,18 @@ def cyclic_nodes(links: DataFrame) -> DataFrame:
             group = cut(group.unionByName(fresh))
         in_group = group.withColumnRenamed("node", "child")
         cyclic = cut(same.join(in_group, ["run_id", "child"], "left_semi").join(group.withColumnRenamed("node", "parent"), ["run_id", "parent"], "left_semi"))
-        found.append(cyclic.select("run_id", F.col("child").alias("task_id")).distinct())
+        found.append(cyclic.select("run_id", F.col("child").alias("task_id"), F.col("colour").alias("group_id")).distinct())
         left = cut(left.join(in_group, ["run_id", "child"], "left_anti").join(group.withColumnRenamed("node", "parent"), ["run_id", "parent"], "left_anti"))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    # a node that also names itself is in its larger group: the colour is the greatest node of it
+    return out.groupBy("run_id", "task_id").agg(F.max("group_id").alias("group_id"))
+
+
+def cyclic_nodes(links: DataFrame) -> DataFrame:
+    """run_id, task_id of the nodes on cycles, like cyclic_groups."""
+    return cyclic_groups(links).select("run_id", "task_id")
 
 
 def tasks_in_cycles(dependencies: DataFrame, component_links: int = COMPONENT_LINKS) -> DataFrame:
@@ -237,10 +269,9 @@ def tasks_in_cycles(dependencies: DataFrame, component_links: int = COMPONENT_LI
     return found if large.isEmpty() else found.unionByName(cyclic_nodes(large))
 
 
-def _level_paths(links: DataFrame) -> DataFrame:
+def _level_paths(links: DataFrame, cyclic: DataFrame) -> DataFrame:
     """PATH_SCHEMA rows of links too many for one task: level by level, each node found over its smallest path. Nodes
-    that no root reaches start at the nodes on cycles, those one by one from the smallest."""
-    cyclic = cut(cyclic_nodes(links))
+    that no root reaches start at the nodes on cycles, those one by one from the smallest. cyclic: run_id, task_id."""
     nodes = cut(links.select("run_id", F.explode(F.array("child", "parent")).alias("task_id")).where("task_id is not null").distinct())
     real = cut(links.where("parent is not null").select("run_id", F.col("parent").alias("task_id"), F.col("child").alias("next")).distinct())
     done: DataFrame | None = None
@@ -262,13 +293,12 @@ def _level_paths(links: DataFrame) -> DataFrame:
 def task_paths(dependencies: DataFrame, component_links: int = COMPONENT_LINKS) -> DataFrame:
     """run_id, task_id, root_id, depth, path, in_cycle of every task.
 
-    The path is the one by which the search first finds a task, children in the order of their ids, from the roots in the
-    order of theirs; a task with two parents thus has one path. Cycles that no root reaches start at their smallest task.
-    (In components of more than component_links links the path is the shortest, then smallest, one from a root.)
+    The path is the shortest one from a root, and of those the smallest; a task with two parents thus has one path. Cycles
+    that no root reaches start at their smallest task (if one leads to another: at the smallest not yet reached).
     """
     small, large = co_located(links_of(dependencies), component_links)
     found = small.mapInPandas(_paths, PATH_SCHEMA)
-    return found if large.isEmpty() else found.unionByName(_level_paths(large))
+    return found if large.isEmpty() else found.unionByName(_level_paths(large, cut(cyclic_nodes(large))))
 
 
 def task_descendants(dependencies: DataFrame, component_links: int = COMPONENT_LINKS) -> DataFrame:
@@ -289,12 +319,15 @@ def task_descendants(dependencies: DataFrame, component_links: int = COMPONENT_L
 
 
 def back_edges(dependencies: DataFrame, component_links: int = COMPONENT_LINKS) -> DataFrame:
-    """run_id, from_id, to_id: the links that close a cycle in the depth-first search (from the descendant to the
-    ancestor). Of components of more than component_links links, all links between tasks of cycles are given."""
+    """run_id, from_id, to_id: the links that close a cycle: those within a strongly connected group that lead to a task
+    not later in the order of (depth, path) of `task_paths`. Every cycle has one; without them no cycle is left."""
     small, large = co_located(links_of(dependencies), component_links)
     found = small.mapInPandas(_back_edges, "run_id string, from_id string, to_id string")
     if large.isEmpty():
         return found
-    on = cut(cyclic_nodes(large))
-    inner = large.join(on.withColumnRenamed("task_id", "child"), ["run_id", "child"], "left_semi").join(on.withColumnRenamed("task_id", "parent"), ["run_id", "parent"], "left_semi")
-    return found.unionByName(inner.select("run_id", F.col("parent").alias("from_id"), F.col("child").alias("to_id")).distinct())
+    group = cut(cyclic_groups(large))
+    path = _level_paths(large, group.select("run_id", "task_id")).where("in_cycle").select("run_id", "task_id", F.struct("depth", "path").alias("place"))
+    placed = cut(group.join(path, ["run_id", "task_id"]))
+    end = lambda name: placed.select("run_id", F.col("task_id").alias(name), "group_id", F.col("place").alias(f"{name}_place"))
+    inner = large.select("run_id", "child", "parent").join(end("child"), ["run_id", "child"]).join(end("parent"), ["run_id", "group_id", "parent"])
+    return found.unionByName(inner.where("child_place <= parent_place").select("run_id", F.col("parent").alias("from_id"), F.col("child").alias("to_id")).distinct())

@@ -75,3 +75,26 @@ def test_clashing_columns(spark):
     df = deps(spark, ("a", "b"), ("b", "a"), ("c", "b")).selectExpr("*", "1 as child", "2 as parent", "3 as component", "4 as node", "5 as up")
     assert rows(hierarchy.tasks_in_cycles(df)) == [("r", "a"), ("r", "b")]
     assert len(rows(hierarchy.task_descendants(df))) == 6
+
+
+def test_both_bounds_give_the_same_paths_and_back_edges(spark):
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(50)}", f"n{rng.randrange(50)}") for _ in range(70)] + [("s", "s"), ("below", "loop2"), ("loop1", "loop2"), ("loop2", "loop1"), ("loop2", "loop2")]
+    pairs += [("d", "b"), ("b", "a"), ("c", "b"), ("d", "c"), ("d", "a")]  # more ways than one
+    df = deps(spark, *pairs).unionByName(deps(spark, *pairs[:40], run="other"))
+    assert rows(hierarchy.task_paths(df, 0)) == rows(hierarchy.task_paths(df))
+    back = rows(hierarchy.back_edges(df))
+    assert rows(hierarchy.back_edges(df, 0)) == back
+    closed = reach(pairs)
+    assert all((b, a) in closed or a == b for run, a, b in back if run == "r")  # each is on a cycle
+    kept = [(c, p) for c, p in pairs if ("r", p, c) not in back]
+    assert not any(a == b for a, b in reach(kept))  # none is left without them
+
+
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_back_edges_close_a_cycle_and_paths_are_shortest(spark, bound):
+    # two cycles, and a link from the one to the other that closes none
+    two = deps(spark, ("b", "a"), ("a", "b"), ("c", "b"), ("d", "c"), ("c", "d"), ("a", "root"))
+    assert rows(hierarchy.back_edges(two, bound)) == [("r", "b", "a"), ("r", "d", "c")]
+    got = {r.task_id: r.path for r in hierarchy.task_paths(deps(spark, ("b", "a"), ("c", "b"), ("d", "c"), ("d", "a"), ("0", "y"), ("y", "x"), ("x", "y")), bound).collect()}
+    assert got["d"] == ["a", "d"] and got["0"] == ["x", "y", "0"]
