@@ -5,7 +5,7 @@ form, are tokens of an inverted index with BM25 weights; misspelt words meet in
 out. Top-k search is exact with pruning: tokens are taken from the heaviest on until those left could not lift any node to
 the score a match needs, and only the taken ones are looked up (so common tokens are never joined); partial scores over them, with a
 signature of each node's common tokens, bound the full score from above, and only nodes that may reach the need are scored
-in full. Two nodes match if each is the other's best in its source. The confidence comes from the score, its gap to
+in full. Nodes of a source that say the same are searched as one. Two nodes match if each is the other's best in its source. The confidence comes from the score, its gap to
 the runner-up, and agreeing and conflicting attributes, through a logistic function.
 
 The score a match needs grows with ln N: BM25 sums logarithms of inverse frequencies, so that much evidence is what a
@@ -165,42 +165,57 @@ def tokens(f: dict) -> list[tuple[int, str, float]]:
     return list(once.values())
 
 
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        known = [features(x) for x in pdf["data_json"].tolist()]
+        for f in known:  # neither the order of words and codes nor their number tells anything: equal nodes have equal texts
+            f.update(words=sorted(set(f["words"])), codes=sorted(set(f["codes"])))
+        yield pd.DataFrame({"node_id": pdf["node_id"].tolist(), "node_type": pdf["node_type"].tolist(), "source": [f["source"] for f in known], "features": [json.dumps(f) for f in known]})
+
+
 def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for whole in batches:
         for at in range(0, len(whole), 1000):  # the tokens of a batch take far more memory than its texts
             pdf = whole.iloc[at : at + 1000]
-            known = [features(x) for x in pdf["data_json"].tolist()]
-            yield pd.DataFrame({
-                "node_id": pdf["node_id"].tolist(), "node_type": pdf["node_type"].tolist(),
-                "source": [f["source"] for f in known],
-                "features": [json.dumps(f) for f in known],
-                "tokens": [[{"g": g, "t": t, "x": x} for g, t, x in tokens(f)] for f in known],
-            })
+            yield pdf.assign(tokens=[[{"g": g, "t": t, "x": x} for g, t, x in tokens(json.loads(f))] for f in pdf["features"].tolist()])
 
 
-NODE_SCHEMA = "node_id string, node_type string, source string, features string, tokens array<struct<g:int,t:string,x:double>>"
+READ_SCHEMA = "node_id string, node_type string, source string, features string"
+NODE_SCHEMA = READ_SCHEMA + ", tokens array<struct<g:int,t:string,x:double>>"
 
 
-def index_nodes(nodes: DataFrame) -> DataFrame:
-    """nid, node_id, node_type, source, features, tokens (hashed, with their type): one row per node id of the types to
-    match; a node of several runs is one. Nodes whose source can't be told are left out. nid is a short number."""
+def read_nodes(nodes: DataFrame) -> DataFrame:
+    """READ_SCHEMA rows, one per node id of the types to match; a node of several runs is one. Nodes whose source can't be
+    told are left out."""
     kept = nodes.where(F.col("node_type").isin(*NODE_TYPES) & F.col("data_json").isNotNull())
     once = kept.select(clean_id("node_id").alias("node_id"), "node_type", "data_json").where("node_id is not null").groupBy("node_id", "node_type").agg(F.max("data_json").alias("data_json"))
+    return cut(once.mapInPandas(_read, READ_SCHEMA).where("source is not null"))
+
+
+def index_classes(known: DataFrame) -> DataFrame:
+    """nid, node_id, node_type, source, features, tokens (hashed, with their type) of read_nodes: nodes of one type and source
+    that say the same are one class, named by its smallest node id. nid is a short number."""
+    classes = known.groupBy("node_type", "source", "features").agg(F.min("node_id").alias("node_id")).select("node_id", "node_type", "source", "features")
     hashed = lambda x: F.struct(x["g"].cast("tinyint").alias("g"), F.xxhash64(F.col("node_type"), x["t"]).alias("t"), x["x"].cast("float").alias("x"))
-    read_nodes = cut(once.mapInPandas(_tokenise, NODE_SCHEMA).where("source is not null").withColumn("tokens", F.transform("tokens", hashed)))
     # numbers over a checkpoint: they stay the same whenever a lost part is read again
-    return read_nodes.withColumn("nid", F.monotonically_increasing_id())
+    return cut(classes.mapInPandas(_tokenise, NODE_SCHEMA).withColumn("tokens", F.transform("tokens", hashed))).withColumn("nid", F.monotonically_increasing_id())
+
+
+def index_nodes(nodes: DataFrame) -> DataFrame:
+    """The classes of nodes, see index_classes."""
+    return index_classes(read_nodes(nodes))
 
 
 #: Bits of the signature of a node's common tokens.
 SIGNATURE = 128
 
 
-def search(indexed: DataFrame, k: int = 2) -> DataFrame:
+def search(indexed: DataFrame, k: int = 2, ties: bool = False) -> DataFrame:
     """nid, other_id, source, other_source, score, share, nth, next_score: the k best nodes of each other source.
 
     score is the BM25 score of the other node for this one; share is that of the most this one could reach, next_score
-    the following one's (0 if none reaches what a match needs). Ties go to the smaller number.
+    the following one's (0 if none reaches what a match needs). Equal scores go by node id; with ties, all that score as
+    the k-th are given and nth is the rank.
     """
     sized = indexed.select("nid", "node_type", F.crc32(F.col("source").cast("binary")).alias("src"), "tokens")
     stats = F.broadcast(sized.groupBy("node_type").agg(F.count("*").alias("n")))  # a row per type
@@ -255,9 +270,15 @@ def search(indexed: DataFrame, k: int = 2) -> DataFrame:
     groups = F.array_distinct(F.transform("shared", lambda x: x["g"]))
     best_of = lambda g: F.array_max(F.transform(F.filter("shared", lambda x: x["g"] == g), lambda x: x["w"]))
     scored = scored.select("nid", "other", "self", "need", F.round(F.aggregate(groups, F.lit(0.0), lambda s, g: s + best_of(g).cast("double")), 4).alias("score")).where("score >= need")
-    source = indexed.select(F.col("nid").alias("other"), F.col("source").alias("other_source"))
-    order = Window.partitionBy("nid", "other_source").orderBy(F.col("score").desc(), "other")
-    ranked = scored.join(source, "other").withColumns({"nth": F.row_number().over(order), "next_score": F.coalesce(F.lead("score").over(order), F.lit(0.0))})
+    source = indexed.select(F.col("nid").alias("other"), F.col("source").alias("other_source"), F.col("node_id").alias("other_node"))
+    order = Window.partitionBy("nid", "other_source").orderBy(F.col("score").desc(), "other_node")
+    next_score = F.coalesce(F.lead("score").over(order), F.lit(0.0))
+    nth = F.row_number().over(order)
+    if ties:
+        alike = Window.partitionBy("nid", "other_source", "score")
+        next_score = F.when(F.count("*").over(alike) > 1, F.col("score")).otherwise(next_score)
+        nth = F.rank().over(Window.partitionBy("nid", "other_source").orderBy(F.col("score").desc()))
+    ranked = scored.join(source, "other").withColumns({"nth": nth, "next_score": next_score})
     return ranked.where(F.col("nth") <= k).select("nid", F.col("other").alias("other_id"), "other_source", "score", (F.col("score") / F.col("self")).alias("share"), "nth", "next_score")
 
 
@@ -360,10 +381,9 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 MATCH_SCHEMA = "left_node_id string, right_node_id string, node_type string, left_source string, right_source string, share double, gap double, agree double, conflict double, other_name boolean, confidence double"
 
 
-def mutual(nodes: DataFrame) -> DataFrame:
-    """MATCH_SCHEMA: all pairs of nodes that are each other's best, with their confidence."""
-    indexed = index_nodes(nodes)
-    best = search(indexed, k=1)
+def mutual_classes(indexed: DataFrame) -> DataFrame:
+    """MATCH_SCHEMA: all pairs of classes that are each other's best (or score as it), with their confidence."""
+    best = search(indexed, k=1, ties=True)
     best = cut(best.select("nid", "other_id", "share", ((F.col("score") - F.col("next_score")) / F.col("score")).alias("gap")))
     back = best.select(F.col("other_id").alias("nid"), F.col("nid").alias("other_id"), F.col("share").alias("share_back"), F.col("gap").alias("gap_back"))
     pairs = best.where("nid < other_id").join(back, ["nid", "other_id"])
@@ -376,14 +396,36 @@ def mutual(nodes: DataFrame) -> DataFrame:
     return pairs.select("node_type", "share", "gap", *side("l", "left"), *side("r", "right")).mapInPandas(_judge, MATCH_SCHEMA)
 
 
+def to_members(pairs: DataFrame, known: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The pairs of classes as pairs of their nodes, the smaller id first (sources, if there are any, go with their nodes)."""
+    classes = indexed.select("node_type", "source", "features", F.col("node_id").alias("class_id"))
+    members = known.join(classes, ["node_type", "source", "features"]).select("node_type", "class_id", "node_id")
+    side = lambda name: members.select("node_type", F.col("class_id").alias(f"{name}_node_id"), F.col("node_id").alias(f"{name}_member"))
+    named = pairs.join(side("left"), ["node_type", "left_node_id"]).join(side("right"), ["node_type", "right_node_id"])
+    turned = F.col("left_member") > F.col("right_member")
+    ends = {"left_node_id": F.least("left_member", "right_member"), "right_node_id": F.greatest("left_member", "right_member")}
+    if "left_source" in pairs.columns:
+        ends |= {"left_source": F.when(turned, F.col("right_source")).otherwise(F.col("left_source")), "right_source": F.when(turned, F.col("left_source")).otherwise(F.col("right_source"))}
+    return named.withColumns(ends).select(*pairs.columns)
+
+
+def mutual(nodes: DataFrame) -> DataFrame:
+    """MATCH_SCHEMA: all pairs of nodes that are each other's best, with their confidence; equal nodes share their pairs."""
+    known = read_nodes(nodes)
+    indexed = index_classes(known)
+    return to_members(mutual_classes(indexed), known, indexed)
+
+
 def matches(nodes: DataFrame, least: float = 0.5) -> DataFrame:
     """left_node_id, right_node_id, node_type, confidence of the pairs that describe the same thing; smaller id first.
 
     Two nodes that both match a third one match too (with the product of the confidences) if they are of different sources
-    and neither has a match in the other's source. A node has at most one match per source, so no group grows large.
+    and neither has a match in the other's source. Nodes of a source that say the same have the same matches, all of them.
     Null, cut off and empty data_json say what can be read of them; nodes that say too little match nothing.
     """
-    judged = mutual(nodes).where(F.col("confidence") >= least)
+    known = read_nodes(nodes)
+    indexed = index_classes(known)
+    judged = mutual_classes(indexed).where(F.col("confidence") >= least)
     direct = cut(judged.select("left_node_id", "right_node_id", "node_type", "left_source", "right_source", "confidence"))
     ends = lambda a, b: direct.select("node_type", F.col(f"{a}_node_id").alias("hub"), F.col(f"{b}_node_id").alias("node_id"), F.col(f"{b}_source").alias("source"), "confidence")
     links = ends("left", "right").unionByName(ends("right", "left"))
@@ -393,4 +435,4 @@ def matches(nodes: DataFrame, least: float = 0.5) -> DataFrame:
     has = lambda df, node, source: df.join(taken, (df["node_type"] == taken["node_type"]) & (df[node] == taken["taken"]) & (df[source] == taken["taken_source"]), "left_anti")
     implied = has(has(open_pairs, "node_id", "other_source"), "other_id", "source")
     implied = implied.groupBy(F.col("node_id").alias("left_node_id"), F.col("other_id").alias("right_node_id"), "node_type").agg(F.max(F.round(F.col("confidence") * F.col("other_confidence"), 6)).alias("confidence"))
-    return direct.select("left_node_id", "right_node_id", "node_type", "confidence").unionByName(implied)
+    return to_members(direct.select("left_node_id", "right_node_id", "node_type", "confidence").unionByName(implied), known, indexed)

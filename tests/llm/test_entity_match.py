@@ -125,3 +125,16 @@ def test_nulls_empty_and_repeats(spark):
     again = df.unionByName(odd).unionByName(df.withColumn("run_id", F.lit("other"))).selectExpr("*", "1 as nid", "2 as t", "3 as w")
     assert {tuple(r)[:2] for r in em.matches(again).collect()} <= want
     assert em.matches(df.limit(0)).count() == 0
+
+
+def test_equal_nodes_all_match(spark):
+    """Copies under other ids, in any order and partitioning, have the pairs of the node they repeat."""
+    df, _ = world(spark, 20)
+    one = {tuple(r) for r in em.matches(df).collect()}
+    copies = df.where("node_id like '%b'").withColumn("node_id", F.concat(F.lit("a"), "node_id"))
+    more = copies.unionByName(copies.withColumn("node_id", F.concat("node_id", F.lit("x"))).withColumn("run_id", F.lit("other")))
+    b_ids = lambda x: [x, "a" + x, "a" + x + "x"] if x.endswith("b") else [x]
+    want = {(min(a, b), max(a, b), kind, c) for left, right, kind, c in one for a in b_ids(left) for b in b_ids(right)}
+    both = df.unionByName(more)
+    assert len(want) > len(one) and {tuple(r) for r in em.matches(both).collect()} == want
+    assert {tuple(r) for r in em.matches(both.orderBy(F.desc("node_id")).repartition(7)).collect()} == want
