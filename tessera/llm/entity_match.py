@@ -8,8 +8,9 @@ signature of each node's common tokens, bound the full score from above, and onl
 in full. Nodes of a source that say the same are searched as one. Two nodes match if each is the other's best in its source. The confidence comes from the score, its gap to
 the runner-up, and agreeing and conflicting attributes, through a logistic function.
 
-The score a match needs grows with ln N: BM25 sums logarithms of inverse frequencies, so that much evidence is what a
-random node of N would reach about once.
+The score a match needs is a share of what the node itself could reach, so it does not grow with the number of nodes N;
+the confidence decides. BM25 sums logarithms of inverse frequencies, so ln N is what a random node of N would reach about
+once: a runner-up below that counts for nothing beside a match above it.
 """
 
 from __future__ import annotations
@@ -210,12 +211,14 @@ def index_nodes(nodes: DataFrame) -> DataFrame:
 SIGNATURE = 128
 
 
-def search(indexed: DataFrame, k: int = 2, ties: bool = False) -> DataFrame:
+def search(indexed: DataFrame, k: int = 2, ties: bool = False, relative: bool = False) -> DataFrame:
     """nid, other_id, source, other_source, score, share, nth, next_score: the k best nodes of each other source.
 
     score is the BM25 score of the other node for this one; share is that of the most this one could reach, next_score
     the following one's (0 if none reaches what a match needs). Equal scores go by node id; with ties, all that score as
-    the k-th are given and nth is the rank.
+    the k-th are given and nth is the rank. A match needs LEAST_SHARE of the most a node could reach and, unless relative,
+    ln n + 1 at least. If relative, that bound only tells which runners-up count: next_score is 0 if score reaches it and
+    the following one's does not.
     """
     sized = indexed.select("nid", "node_type", F.crc32(F.col("source").cast("binary")).alias("src"), "tokens")
     stats = F.broadcast(sized.groupBy("node_type").agg(F.count("*").alias("n")))  # a row per type
@@ -231,7 +234,8 @@ def search(indexed: DataFrame, k: int = 2, ties: bool = False) -> DataFrame:
     whole = Window.partitionBy("nid").orderBy("w", "g", "t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     stepped = weighted.withColumn("step", (F.col("w") - F.coalesce(F.lag("w").over(in_group), F.lit(0.0))).cast("double"))
     stepped = stepped.withColumns({"reach": F.sum("step").over(by_weight), "self": F.sum("step").over(whole)})
-    stepped = stepped.withColumn("need", F.greatest(F.col("self") * LEAST_SHARE, F.log("n") + 1)).withColumn("heavy", F.col("reach") >= F.col("need"))
+    least = F.col("self") * LEAST_SHARE
+    stepped = stepped.withColumn("need", least if relative else F.greatest(least, F.log("n") + 1)).withColumn("heavy", F.col("reach") >= F.col("need"))
     bit = F.pmod("t", F.lit(SIGNATURE)).cast("tinyint")
     of_group = stepped.groupBy("nid", "src", "g").agg(
         F.collect_list(F.struct("g", "t", "w")).alias("ts"),
@@ -270,7 +274,7 @@ def search(indexed: DataFrame, k: int = 2, ties: bool = False) -> DataFrame:
     groups = F.array_distinct(F.transform("shared", lambda x: x["g"]))
     best_of = lambda g: F.array_max(F.transform(F.filter("shared", lambda x: x["g"] == g), lambda x: x["w"]))
     scored = scored.select("nid", "other", "self", "need", F.round(F.aggregate(groups, F.lit(0.0), lambda s, g: s + best_of(g).cast("double")), 4).alias("score")).where("score >= need")
-    source = indexed.select(F.col("nid").alias("other"), F.col("source").alias("other_source"), F.col("node_id").alias("other_node"))
+    source = indexed.join(stats, "node_type").select(F.col("nid").alias("other"), F.col("source").alias("other_source"), F.col("node_id").alias("other_node"), (F.log("n") + 1).alias("chance"))
     order = Window.partitionBy("nid", "other_source").orderBy(F.col("score").desc(), "other_node")
     next_score = F.coalesce(F.lead("score").over(order), F.lit(0.0))
     nth = F.row_number().over(order)
@@ -278,6 +282,8 @@ def search(indexed: DataFrame, k: int = 2, ties: bool = False) -> DataFrame:
         alike = Window.partitionBy("nid", "other_source", "score")
         next_score = F.when(F.count("*").over(alike) > 1, F.col("score")).otherwise(next_score)
         nth = F.rank().over(Window.partitionBy("nid", "other_source").orderBy(F.col("score").desc()))
+    if relative:
+        next_score = F.when((F.col("score") >= F.col("chance")) & (next_score < F.col("chance")), 0.0).otherwise(next_score)
     ranked = scored.join(source, "other").withColumns({"nth": nth, "next_score": next_score})
     return ranked.where(F.col("nth") <= k).select("nid", F.col("other").alias("other_id"), "other_source", "score", (F.col("score") / F.col("self")).alias("share"), "nth", "next_score")
 
@@ -383,7 +389,7 @@ MATCH_SCHEMA = "left_node_id string, right_node_id string, node_type string, lef
 
 def mutual_classes(indexed: DataFrame) -> DataFrame:
     """MATCH_SCHEMA: all pairs of classes that are each other's best (or score as it), with their confidence."""
-    best = search(indexed, k=1, ties=True)
+    best = search(indexed, k=1, ties=True, relative=True)
     best = cut(best.select("nid", "other_id", "share", ((F.col("score") - F.col("next_score")) / F.col("score")).alias("gap")))
     back = best.select(F.col("other_id").alias("nid"), F.col("nid").alias("other_id"), F.col("share").alias("share_back"), F.col("gap").alias("gap_back"))
     pairs = best.where("nid < other_id").join(back, ["nid", "other_id"])

@@ -138,3 +138,11 @@ def test_equal_nodes_all_match(spark):
     both = df.unionByName(more)
     assert len(want) > len(one) and {tuple(r) for r in em.matches(both).collect()} == want
     assert {tuple(r) for r in em.matches(both.orderBy(F.desc("node_id")).repartition(7)).collect()} == want
+
+
+def test_one_rare_word_is_enough(spark):
+    """The score a match needs does not grow with the number of nodes: a name of one word finds its like."""
+    df, _ = world(spark, 20)
+    two = nodes(spark, ("o:x1", "Organization", registry("Trukloun Group")), ("o:x2", "Organization", listed("Trukloun")))
+    got = {tuple(r)[:2] for r in em.matches(df.unionByName(two)).collect()}
+    assert ("o:x1", "o:x2") in got
