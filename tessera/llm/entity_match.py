@@ -1,16 +1,10 @@
 """Matching entities across sources that share no key.
 
 Method: every node is a query against the nodes of its type in every other source. All its attributes, brought to a common
-form, are tokens of an inverted index with BM25 weights; misspelt words meet in the words they give with one letter left
-out. Top-k search is exact with pruning: tokens are taken from the heaviest on until those left could not lift any node to
-the score a match needs, and only the taken ones are looked up (so common tokens are never joined); partial scores over them, with a
-signature of each node's common tokens, bound the full score from above, and only nodes that may reach the need are scored
-in full. Nodes of a source that say the same are searched as one. Two nodes match if each is the other's best in its source. The confidence comes from the score, its gap to
-the runner-up, and agreeing and conflicting attributes, through a logistic function.
-
-The score a match needs is a share of what the node itself could reach, so it does not grow with the number of nodes N;
-the confidence decides. BM25 sums logarithms of inverse frequencies, so ln N is what a random node of N would reach about
-once: a runner-up below that counts for nothing beside a match above it.
+form, are tokens of an inverted index (`inverted_index`): BM25 with exact top-k pruning, in which misspelt words meet.
+Nodes of a source that say the same are searched as one. Two nodes match if each is the other's best in its source (ties
+are all kept). The confidence comes from the gap of the score to the runner-up and from which attributes agree or differ, through a logistic function. Its weights were fitted by `fit`; they are the logarithms of how much more often an
+outcome occurs among matches than among other mutual best pairs.
 """
 
 from __future__ import annotations
@@ -23,18 +17,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.runstore import clean_id
+from . import inverted_index
 
+#: The source of nodes that do not tell it.
+UNKNOWN = "unknown"
+NOTHING = {"words": [], "codes": [], "numbers": [], "city": "", "country": "", "date": None, "tel": "", "mass": 0, "geo": None, "site": "", "other": []}
 NODE_TYPES = ("Organization", "Product", "Facility")
-#: The share of a node's own score that a match needs at least. Tokens occur once in a node and lengths tell nothing here
-#: (b = 0), so BM25's term frequency factor is 1 for any k1.
+#: The share of what either node could reach that a match needs at least.
 LEAST_SHARE = 0.2
-#: Weight of a word with a letter left out against that of the word.
-FUZZY = 0.7
 
 #: Words of names that tell nothing: legal forms and fillers.
 FILLERS = frozenset("the company co inc incorporated ltd limited llc plc gmbh mbh gesellschaft aktiengesellschaft ag kg group gruppe groupe grupo holding holdings sa sarl sas srl bv nv b v s a pty oy ab by model mod type scanner no nr number".split())
@@ -45,6 +40,7 @@ KEYS = {
     "city": ("city", "town", "location"), "country": ("jurisdiction", "country"), "date": ("founded", "since", "est", "established"),
     "tel": ("tel", "phone", "telephone"), "mass": ("mass", "weight"), "geo": ("geo", "coordinates"), "site": ("site", "website", "url"),
 }
+KNOWN_KEYS = frozenset(["name", "label", "source_system", "src", *(k for keys in KEYS.values() for k in keys)])
 SOURCE_HINTS = {"supplier_list": ("label", "src", "town", "est", "staff"), "webcrawl": ("location", "site", "tel"), "registry": ("founded", "city", "jurisdiction")}
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 GRAMS = {"g": 1, "kg": 1000, "t": 1_000_000, "lb": 453.592, "lbs": 453.592}
@@ -52,7 +48,7 @@ GRAMS = {"g": 1, "kg": 1000, "t": 1_000_000, "lb": 453.592, "lbs": 453.592}
 _PAIR = re.compile(r'"(\w+)"\s*:\s*"((?:[^"\\]|\\.)*)"')
 _CODE = re.compile(r"\b([a-z]{1,3})[\s-]?(\d{3,6}[a-z]?)\b")
 _NUMBER = re.compile(r"(?<![a-z\d])\d{1,4}(?![a-z\d])")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def plain(text: str) -> str:
@@ -61,27 +57,30 @@ def plain(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
-def read(data: str | None) -> dict[str, str]:
+def read(data: str | None) -> dict[str, list[str]]:
     """The texts of a data_json by key, whatever its nesting; of one that is cut off, what can be read."""
-    out: dict[str, str] = {}
+    out: dict[str, list[str]] = {}
     try:
-        todo = [json.loads(data or "{}")]
+        todo = [("", json.loads(data or "{}"))]
         while todo:
-            x = todo.pop()
-            for k, v in x.items() if isinstance(x, dict) else ():
-                if isinstance(v, dict):
-                    todo.append(v)
-                elif isinstance(v, (str, int, float)) and not isinstance(v, bool):
-                    out[k] = str(v)
+            key, x = todo.pop()
+            if isinstance(x, dict):
+                todo.extend(reversed(x.items()))
+            elif isinstance(x, list):
+                todo.extend((key, y) for y in reversed(x))
+            elif isinstance(x, (str, int, float)) and not isinstance(x, bool) and str(x).strip():
+                out.setdefault(key, []).append(str(x))
     except ValueError:
-        out = dict(_PAIR.findall(data))
+        for key, x in _PAIR.findall(data):
+            out.setdefault(key, []).append(x)
     return out
 
 
-def source_of(fields: dict[str, str]) -> str | None:
+def source_of(fields: dict[str, list[str]]) -> str | None:
+    """The source a node names, else the one whose keys it uses; None if it says nothing of it."""
     named = fields.get("source_system") or fields.get("src")
     if named:
-        return plain(named.strip())
+        return plain(named[0].strip())
     hits = {s: sum(k in fields for k in keys) for s, keys in SOURCE_HINTS.items()}
     best = max(hits, key=hits.get)
     return best if hits[best] else None
@@ -105,8 +104,8 @@ def date_of(text: str) -> tuple[int, int, int] | None:
 def features(data: str | None) -> dict:
     """What a node says, in a common form."""
     fields = read(data)
-    pick = lambda kind: next((fields[k] for k in KEYS[kind] if fields.get(k, "").strip()), "")
-    name = plain(fields.get("name") or fields.get("label") or "")
+    pick = lambda kind: next((fields[k][0] for k in KEYS[kind] if k in fields), "")
+    name = plain(next((fields[k][0] for k in ("name", "label") if k in fields), ""))
     inside = re.search(r"\(([^)]*)\)", name)
     name = re.sub(r"\([^)]*\)", " ", name)
     name = re.sub(r"\b([a-z])\.([a-z])\.", r"\1\2", name)
@@ -120,6 +119,7 @@ def features(data: str | None) -> dict:
     tel = re.sub(r"\D", "", pick("tel"))
     return {
         "source": source_of(fields),
+        "other": sorted({plain(x).strip() for k, xs in fields.items() if k not in KNOWN_KEYS for x in xs}),
         "words": [w for w in _WORD.findall(name) if w not in FILLERS and len(w) > 1 and not (3 < len(w) < 12 and any(w[0] == x[0] or w[-1] == x[-1] for x in LONG_FILLERS) and any(slips(w, x, 1) for x in LONG_FILLERS))],
         "codes": codes,
         "numbers": sorted({int(n) for n in _NUMBER.findall(name)}),
@@ -133,37 +133,22 @@ def features(data: str | None) -> dict:
     }
 
 
-def shortened(word: str) -> set[str]:
-    """The word, and the word with each of its letters left out: words one slip apart share one of these."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) >= 5 else {word}
-
-
-def tokens(f: dict) -> list[tuple[int, str, float]]:
-    """(group, token, factor): of a group, only the heaviest token that two nodes share counts."""
-    groups: list[list[tuple[str, float]]] = []
-    for w in dict.fromkeys([*f["words"], *([f["site"]] if f["site"] else [])]):
-        groups.append([(f"w:{w}", 1.0), *((f"v:{x}", FUZZY) for x in shortened(w))])
-    groups += [[(f"k:{c}", 1.0)] for c in f["codes"]]
-    groups += [[(f"n:{n}", 1.0)] for n in f["numbers"]]
-    if f["city"]:
-        groups.append([(f"c:{f['city']}", 1.0), *((f"d:{x}", FUZZY) for x in shortened(f["city"]))])
-    if f["country"]:
-        groups.append([(f"l:{f['country']}", 1.0)])
+def tokens(f: dict) -> tuple[list[tuple[int, str, str]], int]:
+    """(group, kind, value) of each token, and the number of groups."""
+    groups: list[list[tuple[str, str]]] = [[("w", w)] for w in dict.fromkeys([*f["words"], *([f["site"]] if f["site"] else [])])]
+    groups += [[("k", c)] for c in f["codes"]] + [[("n", str(n))] for n in f["numbers"]]
+    groups += [[(k, f[name])] for k, name in (("c", "city"), ("l", "country"), ("t", "tel")) if f[name]]
     if f["date"]:
         y, m, d = f["date"]
-        groups.append([(f"y:{y}", 1.0)] + ([(f"ym:{y}-{m}", 1.0)] if m else []) + ([(f"ymd:{y}-{m}-{d}", 1.0), (f"md:{m}-{d}", 1.0)] if d else []))
-    if f["tel"]:
-        groups.append([(f"t:{f['tel']}", 1.0)])
+        groups.append([("y", f"{y}")] + ([("ym", f"{y}-{m}")] if m else []) + ([("ymd", f"{y}-{m}-{d}"), ("md", f"{m}-{d}")] if d else []))
     if f["mass"]:
-        groups.append([(f"m:{f['mass']}", 1.0)])
+        groups.append([("m", str(f["mass"]))])
     if f["geo"]:
         cells = {(math.floor((f["geo"][0] + a) * 10), math.floor((f["geo"][1] + b) * 10)) for a in (-0.02, 0.02) for b in (-0.02, 0.02)}
-        groups.append([(f"g:{a}:{b}", 1.0) for a, b in sorted(cells)])
-    once: dict[str, tuple[int, str, float]] = {}
-    for g, group in enumerate(groups):
-        for t, x in group:
-            once.setdefault(t, (g, t, x))
-    return list(once.values())
+        groups.append([("g", f"{a}:{b}") for a, b in sorted(cells)])
+    length = len(groups)
+    groups += [[(inverted_index.OTHER_KIND, x)] for x in f["other"]]
+    return [(g, k, v) for g, group in enumerate(groups) for k, v in group], length
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,121 +156,36 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = [features(x) for x in pdf["data_json"].tolist()]
         for f in known:  # neither the order of words and codes nor their number tells anything: equal nodes have equal texts
             f.update(words=sorted(set(f["words"])), codes=sorted(set(f["codes"])))
-        yield pd.DataFrame({"node_id": pdf["node_id"].tolist(), "node_type": pdf["node_type"].tolist(), "source": [f["source"] for f in known], "features": [json.dumps(f) for f in known]})
+        said = [json.dumps({k: v for k, v in f.items() if v and k != "source"}, ensure_ascii=False) for f in known]
+        yield pd.DataFrame({"node_id": pdf["node_id"].tolist(), "node_type": pdf["node_type"].tolist(), "source": [f["source"] or UNKNOWN for f in known], "features": said})
+
+
+def said(features_text: str) -> dict:
+    """The features of a node from their text, in which empty ones are left out."""
+    return NOTHING | json.loads(features_text)
 
 
 def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for whole in batches:
-        for at in range(0, len(whole), 1000):  # the tokens of a batch take far more memory than its texts
-            pdf = whole.iloc[at : at + 1000]
-            yield pdf.assign(tokens=[[{"g": g, "t": t, "x": x} for g, t, x in tokens(json.loads(f))] for f in pdf["features"].tolist()])
+    for pdf in batches:
+        made = [tokens(said(f)) for f in pdf["features"].tolist()]
+        yield pdf.assign(tokens=[[{"g": g, "k": k, "v": v} for g, k, v in ts] for ts, _ in made], length=[n for _, n in made]).drop(columns="features")
 
 
 READ_SCHEMA = "node_id string, node_type string, source string, features string"
-NODE_SCHEMA = READ_SCHEMA + ", tokens array<struct<g:int,t:string,x:double>>"
 
 
 def read_nodes(nodes: DataFrame) -> DataFrame:
-    """READ_SCHEMA rows, one per node id of the types to match; a node of several runs is one. Nodes whose source can't be
-    told are left out."""
+    """nid, node_id, node_type, source, features: what each node of the types to match says, in a common form. Nodes of a
+    type and source that say the same have one nid. A node that says different things in different runs has a row for each."""
     kept = nodes.where(F.col("node_type").isin(*NODE_TYPES) & F.col("data_json").isNotNull())
-    once = kept.select(clean_id("node_id").alias("node_id"), "node_type", "data_json").where("node_id is not null").groupBy("node_id", "node_type").agg(F.max("data_json").alias("data_json"))
-    return cut(once.mapInPandas(_read, READ_SCHEMA).where("source is not null"))
+    read_once = kept.select(clean_id("node_id").alias("node_id"), "node_type", "data_json").where("node_id is not null").mapInPandas(_read, READ_SCHEMA)
+    return cut(read_once.select(F.xxhash64("node_type", "source", "features").alias("nid"), "*").dropDuplicates(["node_id", "nid"]))
 
 
 def index_classes(known: DataFrame) -> DataFrame:
-    """nid, node_id, node_type, source, features, tokens (hashed, with their type) of read_nodes: nodes of one type and source
-    that say the same are one class, named by its smallest node id. nid is a short number."""
-    classes = known.groupBy("node_type", "source", "features").agg(F.min("node_id").alias("node_id")).select("node_id", "node_type", "source", "features")
-    hashed = lambda x: F.struct(x["g"].cast("tinyint").alias("g"), F.xxhash64(F.col("node_type"), x["t"]).alias("t"), x["x"].cast("float").alias("x"))
-    # numbers over a checkpoint: they stay the same whenever a lost part is read again
-    return cut(classes.mapInPandas(_tokenise, NODE_SCHEMA).withColumn("tokens", F.transform("tokens", hashed))).withColumn("nid", F.monotonically_increasing_id())
-
-
-def index_nodes(nodes: DataFrame) -> DataFrame:
-    """The classes of nodes, see index_classes."""
-    return index_classes(read_nodes(nodes))
-
-
-#: Bits of the signature of a node's common tokens.
-SIGNATURE = 128
-
-
-def search(indexed: DataFrame, k: int = 2, ties: bool = False, relative: bool = False) -> DataFrame:
-    """nid, other_id, source, other_source, score, share, nth, next_score: the k best nodes of each other source.
-
-    score is the BM25 score of the other node for this one; share is that of the most this one could reach, next_score
-    the following one's (0 if none reaches what a match needs). Equal scores go by node id; with ties, all that score as
-    the k-th are given and nth is the rank. A match needs LEAST_SHARE of the most a node could reach and, unless relative,
-    ln n + 1 at least. If relative, that bound only tells which runners-up count: next_score is 0 if score reaches it and
-    the following one's does not.
-    """
-    sized = indexed.select("nid", "node_type", F.crc32(F.col("source").cast("binary")).alias("src"), "tokens")
-    stats = F.broadcast(sized.groupBy("node_type").agg(F.count("*").alias("n")))  # a row per type
-    postings = sized.join(stats, "node_type").select("nid", "src", "n", F.inline("tokens"))
-    frequency = postings.groupBy("t").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = postings.join(frequency, "t").select("nid", "src", "n", "g", "t", (idf * F.col("x")).cast("float").alias("w"))
-
-    # tokens from the lightest on are not looked up as long as no node could reach the need by them alone: of a group only
-    # the heaviest counts, so each adds what it is heavier than the one before
-    in_group = Window.partitionBy("nid", "g").orderBy("w", "t")
-    by_weight = Window.partitionBy("nid").orderBy("w", "g", "t").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("nid").orderBy("w", "g", "t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    stepped = weighted.withColumn("step", (F.col("w") - F.coalesce(F.lag("w").over(in_group), F.lit(0.0))).cast("double"))
-    stepped = stepped.withColumns({"reach": F.sum("step").over(by_weight), "self": F.sum("step").over(whole)})
-    least = F.col("self") * LEAST_SHARE
-    stepped = stepped.withColumn("need", least if relative else F.greatest(least, F.log("n") + 1)).withColumn("heavy", F.col("reach") >= F.col("need"))
-    bit = F.pmod("t", F.lit(SIGNATURE)).cast("tinyint")
-    of_group = stepped.groupBy("nid", "src", "g").agg(
-        F.collect_list(F.struct("g", "t", "w")).alias("ts"),
-        F.collect_list(F.when(F.col("heavy"), F.struct("g", "t", "w"))).alias("heavy"),
-        F.collect_list(F.when(~F.col("heavy"), F.struct(bit.alias("bit"), "w"))).alias("light"),
-        F.max("self").alias("self"), F.max("need").alias("need"),
-    )
-    vectors = cut(
-        of_group.groupBy("nid", "src").agg(
-            F.flatten(F.collect_list("ts")).alias("ts"),
-            F.flatten(F.collect_list("heavy")).alias("heavy"),
-            F.collect_list(F.when(F.size("light") > 0, F.col("light"))).alias("light"),
-            F.max("self").alias("self"), F.max("need").alias("need"),
-        )
-    )
-
-    # each posting carries a signature of those tokens of its node that are light for any node: with it, partial scores
-    # over the looked up tokens bound the full score closely from above
-    heaviest = vectors.select(F.max(F.array_max(F.transform(F.flatten("light"), lambda x: x["w"])))).first()[0] or 0.0
-    half = lambda n: F.aggregate(F.filter("ts", lambda x: x["w"] <= heaviest), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.when(F.floor(F.pmod(x["t"], F.lit(SIGNATURE)) / 64) == n, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x["t"], F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))))
-    probes = vectors.select("nid", F.col("src").alias("own"), F.inline("heavy"))
-    target = vectors.select(F.col("nid").alias("other"), "src", half(0).alias("low_bits"), half(1).alias("high_bits"), F.explode(F.transform("ts", lambda x: x["t"])).alias("t"))
-    met = probes.join(target, "t").where("src <> own").select("nid", "other", "low_bits", "high_bits", "g", "w").repartition("nid")
-    partial = met.groupBy("nid", "other", "low_bits", "high_bits", "g").agg(F.max("w").alias("w")).groupBy("nid", "other", "low_bits", "high_bits").agg(F.sum("w").alias("part"))
-    is_set = lambda b: F.call_function("shiftright", F.when(b < 64, F.col("low_bits")).otherwise(F.col("high_bits")), F.pmod(b, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    most = lambda group: F.aggregate(group, F.lit(0.0), lambda m, x: F.when((x["w"] > m) & is_set(x["bit"]), x["w"].cast("double")).otherwise(m))
-    bounds = partial.join(vectors.select("nid", "light", "need"), "nid").withColumn("light_part", F.aggregate("light", F.lit(0.0), lambda a, group: a + most(group)))
-    left_over = cut(bounds.where(F.col("part") + F.col("light_part") >= F.col("need") - 1e-3).select("nid", "other"))
-
-    mine = vectors.select("nid", "ts", "self", "need")
-    theirs = vectors.select(F.col("nid").alias("other"), F.transform("ts", lambda x: x["t"]).alias("other_ts"))
-    joined = left_over.join(mine, "nid").join(theirs, "other")
-    # the intersection goes by hash, so few tokens are left to be looked for one by one
-    common = joined.select("nid", "other", "self", "need", "ts", F.explode(F.array(F.array_intersect(F.transform("ts", lambda x: x["t"]), F.col("other_ts")))).alias("common"))
-    scored = common.select("nid", "other", "self", "need", F.explode(F.array(F.filter("ts", lambda x: F.array_contains(F.col("common"), x["t"])))).alias("shared"))
-    groups = F.array_distinct(F.transform("shared", lambda x: x["g"]))
-    best_of = lambda g: F.array_max(F.transform(F.filter("shared", lambda x: x["g"] == g), lambda x: x["w"]))
-    scored = scored.select("nid", "other", "self", "need", F.round(F.aggregate(groups, F.lit(0.0), lambda s, g: s + best_of(g).cast("double")), 4).alias("score")).where("score >= need")
-    source = indexed.join(stats, "node_type").select(F.col("nid").alias("other"), F.col("source").alias("other_source"), F.col("node_id").alias("other_node"), (F.log("n") + 1).alias("chance"))
-    order = Window.partitionBy("nid", "other_source").orderBy(F.col("score").desc(), "other_node")
-    next_score = F.coalesce(F.lead("score").over(order), F.lit(0.0))
-    nth = F.row_number().over(order)
-    if ties:
-        alike = Window.partitionBy("nid", "other_source", "score")
-        next_score = F.when(F.count("*").over(alike) > 1, F.col("score")).otherwise(next_score)
-        nth = F.rank().over(Window.partitionBy("nid", "other_source").orderBy(F.col("score").desc()))
-    if relative:
-        next_score = F.when((F.col("score") >= F.col("chance")) & (next_score < F.col("chance")), 0.0).otherwise(next_score)
-    ranked = scored.join(source, "other").withColumns({"nth": nth, "next_score": next_score})
-    return ranked.where(F.col("nth") <= k).select("nid", F.col("other").alias("other_id"), "other_source", "score", (F.col("score") / F.col("self")).alias("share"), "nth", "next_score")
+    """nid, node_type, src, length, tokens: one row per nid of read_nodes, see inverted_index.search."""
+    classes = known.select("nid", "node_type", F.xxhash64("source").alias("src"), "features").dropDuplicates(["nid"])
+    return cut(classes.mapInPandas(_tokenise, f"nid bigint, node_type string, src bigint, tokens {inverted_index.TOKEN_TYPE}, length int"))
 
 
 def slips(a: str, b: str, most: int = 2) -> bool:
@@ -318,127 +218,150 @@ def same_word(a: str, b: str) -> bool:
     return slips(short, long[: len(short)], 1) or not Counter(short) - Counter(long)
 
 
-#: What agreeing and conflicting attributes weigh, in the logistic function's units.
-AGREE = {"codes": 2.0, "numbers": 1.5, "city": 2.0, "month": 2.5, "year": 1.0, "near": 0.5, "tel": 3.0, "exchange": 2.0, "mass": 2.0, "geo": 2.5}
-CONFLICT = {"city": 2.5, "country": 0.5, "date": 2.0, "tel": 1.0, "mass": 2.0, "geo": 2.5, "geo_near": 1.0}
-
-
-def compare(a: dict, b: dict) -> tuple[float, float, bool]:
-    """(weight of agreeing attributes, weight of conflicting ones, whether the names are of different things)."""
-    agree = conflict = 0.0
+def outcome(a: dict, b: dict) -> dict[str, str]:
+    """How two nodes compare, by attribute; attributes that one of them lacks are left out."""
+    out = {}
     rest_a = [w for w in a["words"] if not any(same_word(w, x) for x in b["words"])]
     rest_b = [w for w in b["words"] if not any(same_word(w, x) for x in a["words"])]
-    other = bool(rest_a and rest_b)
-    for kind in ("codes", "numbers"):
-        if a[kind] and b[kind]:
-            # swapped letters of a code are a slip, other digits another thing
-            sort = lambda c: "".join(sorted(_WORD.match(c)[0])) + c[_WORD.match(c).end() :] if kind == "codes" else c  # noqa: B023, E731
-            same = bool({sort(c) for c in a[kind]} & {sort(c) for c in b[kind]})
-            other, agree = other or not same, agree + AGREE[kind] * same
+    if a["words"] and b["words"]:
+        out["name"] = "other" if rest_a and rest_b else "part" if rest_a or rest_b else "same"
+    # names that differ in a number are of different things, whatever their words; swapped letters of a code are a slip
+    code = lambda c: "".join(sorted(_WORD.match(c)[0])) + c[_WORD.match(c).end() :]
+    for mine, theirs in ((set(map(code, a["codes"])), set(map(code, b["codes"]))), (set(a["numbers"]), set(b["numbers"]))):
+        if mine and theirs and not mine & theirs:
+            out["name"] = "other"
     if a["city"] and b["city"]:
-        same = a["city"] == b["city"] or slips(a["city"], b["city"])
-        agree, conflict = agree + AGREE["city"] * same, conflict + CONFLICT["city"] * (not same)
-    if a["country"] and b["country"] and a["country"] != b["country"]:
-        conflict += CONFLICT["country"]
+        out["city"] = "same" if a["city"] == b["city"] or slips(a["city"], b["city"]) else "other"
+    if a["country"] and b["country"]:
+        out["country"] = "same" if a["country"] == b["country"] else "other"
     if a["date"] and b["date"]:
         (y, m, d), (y2, m2, d2) = a["date"], b["date"]
         months = (not (m and m2) or m == m2) and (not (d and d2) or d == d2)
-        if y == y2 and months:
-            agree += AGREE["month" if m and m2 else "year"]
-        elif abs(y - y2) <= 1:
-            agree += AGREE["near"] * months
-        else:
-            conflict += CONFLICT["date"]
-    if a["tel"] and b["tel"]:
-        if a["tel"][:6] == b["tel"][:6]:  # another extension of the same exchange
-            agree += AGREE["tel" if a["tel"] == b["tel"] else "exchange"]
-        else:
-            conflict += CONFLICT["tel"]
+        out["date"] = "other" if abs(y - y2) > 1 or not months else ("month" if m and m2 else "year") if y == y2 else "near"
+    if a["tel"] and b["tel"]:  # the last digits are an extension of an exchange
+        out["tel"] = "same" if a["tel"] == b["tel"] else "exchange" if a["tel"][:6] == b["tel"][:6] else "other"
     if a["mass"] and b["mass"]:
-        same = abs(a["mass"] - b["mass"]) <= 0.01 * max(a["mass"], b["mass"])
-        agree, conflict = agree + AGREE["mass"] * same, conflict + CONFLICT["mass"] * (not same)
+        out["mass"] = "same" if abs(a["mass"] - b["mass"]) <= 0.01 * max(a["mass"], b["mass"]) else "other"
     if a["geo"] and b["geo"]:
         off = max(abs(x - y) for x, y in zip(a["geo"], b["geo"], strict=True))
-        agree += AGREE["geo"] * (off <= 0.025)
-        conflict += CONFLICT["geo"] * (off > 0.1) + CONFLICT["geo_near"] * (0.025 < off <= 0.1)
-    return agree, conflict, other
-
-
-#: Logistic calibration of the confidence: constant, share of the own score, gap to the runner-up (as a share of the
-#: score), names of different things; the weights of the attributes are added as they are.
-LOGIT = (-1.4, 1.0, 2.0, -8.0)
+        out["geo"] = "same" if off <= 0.025 else "near" if off <= 0.1 else "other"
+    return out
 
 
-def confidence(share: float, gap: float, agree: float, conflict: float, other: bool) -> float:
-    z = LOGIT[0] + LOGIT[1] * share + LOGIT[2] * gap + agree - conflict + LOGIT[3] * other
-    return 1 / (1 + math.exp(-z))
+#: Where the steps of the gap to the runner-up begin.
+GAP_STEPS = (0.02, 0.2, 0.5)
+
+
+def gap_step(gap: float) -> str:
+    return str(sum(gap >= x for x in GAP_STEPS))
+
+
+#: Outcomes that speak for a match where nothing is known yet.
+AGREEING = frozenset(["same", "part", "month", "year", "near", "exchange"])
+#: The most pairs `fit` is meant for: a sample of that size is enough for some thirty weights.
+FIT_PAIRS = 50_000
+
+
+def fit(pairs: list[dict[str, str]], rounds: int = 200) -> tuple[float, dict[str, dict[str, float]]]:
+    """(constant, weights) of the logistic function from the outcomes of at most FIT_PAIRS mutual best pairs, without
+    labels: the two-class model of record linkage (Fellegi and Sunter 1969), by expectation and maximisation.
+
+    Each outcome has one chance among matches and one among other pairs; its weight is the logarithm of their ratio. A
+    count of one for each outcome keeps rare ones finite."""
+    if len(pairs) > FIT_PAIRS:
+        raise ValueError(f"{len(pairs)} pairs; the fit is meant for a sample of at most {FIT_PAIRS}")
+    counted = Counter(tuple(sorted(p.items())) for p in pairs)
+    values: dict[str, set[str]] = {}
+    for p in pairs:
+        for k, v in p.items():
+            values.setdefault(k, set()).add(v)
+    fields = [k for k in values if k != "gap"]
+    agree = {p: sum(1 if v in AGREEING else -1 for k, v in p if k in fields) for p in counted}
+    posterior = {p: 0.9 if a > 0 else 0.1 for p, a in agree.items()}
+    constant, weights = 0.0, {}
+    for _ in range(rounds):
+        total = sum(n * posterior[p] for p, n in counted.items())
+        chance = total / len(pairs)
+        weights = {}
+        for k, vs in values.items():
+            yes, no = dict.fromkeys(vs, 1.0), dict.fromkeys(vs, 1.0)
+            for p, n in counted.items():
+                v = dict(p).get(k)
+                if v is not None:
+                    yes[v] += n * posterior[p]
+                    no[v] += n * (1 - posterior[p])
+            all_yes, all_no = sum(yes.values()), sum(no.values())
+            weights[k] = {v: math.log(yes[v] / all_yes) - math.log(no[v] / all_no) for v in sorted(vs)}
+        constant = math.log(chance / (1 - chance))
+        before, posterior = posterior, {p: confidence(dict(p), weights, constant) for p in counted}
+        if max(abs(before[p] - posterior[p]) for p in counted) < 1e-6:
+            break
+    return round(constant, 3), {k: {v: round(x, 3) for v, x in ws.items()} for k, ws in weights.items()}
+
+
+#: Logistic weights of the outcomes and the constant, fitted by `fit` on the 5,786 mutual best pairs of the sf0.1 tables.
+CONSTANT = 0.746
+WEIGHTS: dict[str, dict[str, float]] = {
+    "city": {"other": -6.486, "same": 0.469},
+    "country": {"other": -4.55, "same": 0.091},
+    "date": {"month": 2.661, "near": 1.947, "other": -6.475, "year": 0.957},
+    "gap": {"0": -6.367, "1": -3.285, "2": 0.252, "3": 2.017},
+    "geo": {"near": -4.052, "other": -6.1, "same": 3.527},
+    "mass": {"other": -6.395, "same": 1.791},
+    "name": {"other": -6.073, "part": 2.833, "same": 3.581},
+    "tel": {"exchange": 4.478, "other": -1.093, "same": 2.791},
+}
+
+
+def confidence(outcomes: dict[str, str], weights: dict[str, dict[str, float]] | None = None, constant: float | None = None) -> float:
+    weights, constant = weights or WEIGHTS, CONSTANT if constant is None else constant
+    z = constant + sum(weights.get(k, {}).get(v, 0.0) for k, v in outcomes.items())
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for share, gap, fa, fb in zip(pdf["share"].tolist(), pdf["gap"].tolist(), pdf["left_features"].tolist(), pdf["right_features"].tolist(), strict=True):
-            agree, conflict, other = compare(json.loads(fa), json.loads(fb))
-            rows.append((agree, conflict, other, round(confidence(share, gap, agree, conflict, other), 6)))
-        judged = pd.DataFrame(rows, columns=["agree", "conflict", "other_name", "confidence"], index=pdf.index)
-        yield pd.concat([pdf[["left_node_id", "right_node_id", "node_type", "left_source", "right_source", "share", "gap"]], judged], axis=1)
+        for gap, fa, fb in zip(pdf["gap"].tolist(), pdf["left_features"].tolist(), pdf["right_features"].tolist(), strict=True):
+            found = outcome(said(fa), said(fb)) | {"gap": gap_step(gap)}
+            rows.append((json.dumps(found), round(confidence(found), 6)))
+        judged = pd.DataFrame(rows, columns=["outcomes", "confidence"], index=pdf.index)
+        yield pd.concat([pdf[["left", "right", "node_type", "share", "gap"]], judged], axis=1)
 
 
-MATCH_SCHEMA = "left_node_id string, right_node_id string, node_type string, left_source string, right_source string, share double, gap double, agree double, conflict double, other_name boolean, confidence double"
+MATCH_SCHEMA = "left bigint, right bigint, node_type string, share double, gap double, outcomes string, confidence double"
 
 
-def mutual_classes(indexed: DataFrame) -> DataFrame:
-    """MATCH_SCHEMA: all pairs of classes that are each other's best (or score as it), with their confidence."""
-    best = search(indexed, k=1, ties=True, relative=True)
-    best = cut(best.select("nid", "other_id", "share", ((F.col("score") - F.col("next_score")) / F.col("score")).alias("gap")))
+def mutual_classes(known: DataFrame) -> DataFrame:
+    """MATCH_SCHEMA: all pairs of nid that are each other's best (or score as it), with their confidence."""
+    best = cut(inverted_index.search(index_classes(known), LEAST_SHARE).select("nid", "other_id", "share", ((F.col("score") - F.col("next_score")) / F.col("score")).alias("gap")))
     back = best.select(F.col("other_id").alias("nid"), F.col("nid").alias("other_id"), F.col("share").alias("share_back"), F.col("gap").alias("gap_back"))
-    pairs = best.where("nid < other_id").join(back, ["nid", "other_id"])
-    known = indexed.select("nid", "node_type", F.struct("node_id", "source", "features").alias("a"))
-    pairs = pairs.join(known, "nid").join(known.select(F.col("nid").alias("other_id"), F.col("a").alias("b")), "other_id")
-    # the smaller id goes first
-    turned = F.col("a.node_id") > F.col("b.node_id")
-    pairs = pairs.select("node_type", F.greatest("share", "share_back").alias("share"), F.least("gap", "gap_back").alias("gap"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("l"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("r"))
-    side = lambda s, name: [F.col(f"{s}.node_id").alias(f"{name}_node_id"), F.col(f"{s}.source").alias(f"{name}_source"), F.col(f"{s}.features").alias(f"{name}_features")]
-    return pairs.select("node_type", "share", "gap", *side("l", "left"), *side("r", "right")).mapInPandas(_judge, MATCH_SCHEMA)
-
-
-def to_members(pairs: DataFrame, known: DataFrame, indexed: DataFrame) -> DataFrame:
-    """The pairs of classes as pairs of their nodes, the smaller id first (sources, if there are any, go with their nodes)."""
-    classes = indexed.select("node_type", "source", "features", F.col("node_id").alias("class_id"))
-    members = known.join(classes, ["node_type", "source", "features"]).select("node_type", "class_id", "node_id")
-    side = lambda name: members.select("node_type", F.col("class_id").alias(f"{name}_node_id"), F.col("node_id").alias(f"{name}_member"))
-    named = pairs.join(side("left"), ["node_type", "left_node_id"]).join(side("right"), ["node_type", "right_node_id"])
-    turned = F.col("left_member") > F.col("right_member")
-    ends = {"left_node_id": F.least("left_member", "right_member"), "right_node_id": F.greatest("left_member", "right_member")}
-    if "left_source" in pairs.columns:
-        ends |= {"left_source": F.when(turned, F.col("right_source")).otherwise(F.col("left_source")), "right_source": F.when(turned, F.col("left_source")).otherwise(F.col("right_source"))}
-    return named.withColumns(ends).select(*pairs.columns)
+    both = best.where("nid < other_id").join(back, ["nid", "other_id"])
+    texts = known.select("nid", "node_type", "features").dropDuplicates(["nid"])
+    both = both.join(texts.withColumnRenamed("features", "left_features"), "nid").join(texts.select(F.col("nid").alias("other_id"), F.col("features").alias("right_features")), "other_id")
+    return both.select(F.col("nid").alias("left"), F.col("other_id").alias("right"), "node_type", F.greatest("share", "share_back").alias("share"), F.least("gap", "gap_back").alias("gap"), "left_features", "right_features").mapInPandas(_judge, MATCH_SCHEMA)
 
 
 def mutual(nodes: DataFrame) -> DataFrame:
-    """MATCH_SCHEMA: all pairs of nodes that are each other's best, with their confidence; equal nodes share their pairs."""
+    """left_node_id, right_node_id, node_type, confidence of all pairs of nodes that are each other's best; smaller id first.
+    Nodes that say the same share their pairs."""
     known = read_nodes(nodes)
-    indexed = index_classes(known)
-    return to_members(mutual_classes(indexed), known, indexed)
+    return to_members(mutual_classes(known), known)
+
+
+def to_members(classes: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs of classes as pairs of their nodes, the greatest confidence for each."""
+    member = lambda name: known.select(F.col("nid").alias(name), F.col("node_id").alias(f"{name}_member"))
+    named = classes.join(member("left"), "left").join(member("right"), "right").where("left_member <> right_member")
+    ends = [F.least("left_member", "right_member").alias("left_node_id"), F.greatest("left_member", "right_member").alias("right_node_id")]
+    return named.groupBy(*ends, "node_type").agg(F.max("confidence").alias("confidence"))
 
 
 def matches(nodes: DataFrame, least: float = 0.5) -> DataFrame:
     """left_node_id, right_node_id, node_type, confidence of the pairs that describe the same thing; smaller id first.
 
-    Two nodes that both match a third one match too (with the product of the confidences) if they are of different sources
-    and neither has a match in the other's source. Nodes of a source that say the same have the same matches, all of them.
-    Null, cut off and empty data_json say what can be read of them; nodes that say too little match nothing.
+    Nodes of a source that say the same have the same matches, all of them. Null, cut off and empty data_json say what can
+    be read of them; nodes that say too little match nothing. Nodes that don't tell their source make a source of their own.
     """
     known = read_nodes(nodes)
-    indexed = index_classes(known)
-    judged = mutual_classes(indexed).where(F.col("confidence") >= least)
-    direct = cut(judged.select("left_node_id", "right_node_id", "node_type", "left_source", "right_source", "confidence"))
-    ends = lambda a, b: direct.select("node_type", F.col(f"{a}_node_id").alias("hub"), F.col(f"{b}_node_id").alias("node_id"), F.col(f"{b}_source").alias("source"), "confidence")
-    links = ends("left", "right").unionByName(ends("right", "left"))
-    other = links.select("node_type", "hub", F.col("node_id").alias("other_id"), F.col("source").alias("other_source"), F.col("confidence").alias("other_confidence"))
-    open_pairs = links.join(other, ["node_type", "hub"]).where("node_id < other_id and source <> other_source")
-    taken = links.select("node_type", F.col("hub").alias("taken"), F.col("source").alias("taken_source")).distinct()
-    has = lambda df, node, source: df.join(taken, (df["node_type"] == taken["node_type"]) & (df[node] == taken["taken"]) & (df[source] == taken["taken_source"]), "left_anti")
-    implied = has(has(open_pairs, "node_id", "other_source"), "other_id", "source")
-    implied = implied.groupBy(F.col("node_id").alias("left_node_id"), F.col("other_id").alias("right_node_id"), "node_type").agg(F.max(F.round(F.col("confidence") * F.col("other_confidence"), 6)).alias("confidence"))
-    return to_members(direct.select("left_node_id", "right_node_id", "node_type", "confidence").unionByName(implied), known, indexed)
+    return to_members(mutual_classes(known).where(F.col("confidence") >= least), known)

@@ -1,13 +1,13 @@
 from __future__ import annotations
 
 import json
-import math
 import random
-from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import entity_match as em
+from tessera.llm import inverted_index as ii
 
 SCHEMA = "run_id string, node_id string, node_type string, data_json string"
 
@@ -69,42 +69,82 @@ def test_misspelt_entities_are_found(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(want)
 
 
-def test_search_is_exact(spark):
-    """The pruned search finds the same best nodes and scores as scoring every pair."""
+@pytest.mark.parametrize(("rare", "hot"), [(30, 1_000), (1, 1_000), (1, 2)])
+def test_search_is_exact(spark, monkeypatch, rare, hot):
+    """The pruned search finds the same best nodes and scores as scoring every pair, with salted keys too."""
+    monkeypatch.setattr(ii, "RARE_NODES", rare)
+    monkeypatch.setattr(ii, "HOT_ROWS", hot)
     df, _ = world(spark, 30, 8)
-    indexed = em.index_nodes(df)
-    rows = indexed.collect()
-    ids = {r.nid: r.source for r in rows}
-    n = len(rows)
-    df_count = Counter(t.t for r in rows for t in r.tokens)
-    weight = {r.nid: {(x.g, x.t): math.log(1 + (n - df_count[x.t] + 0.5) / (df_count[x.t] + 0.5)) * x.x for x in r.tokens} for r in rows}
-    has = {r.nid: {x.t for x in r.tokens} for r in rows}
-
-    def score(a, b):
+    few = nodes(spark, ("o:y1", "Organization", registry("", founded="1999")), ("o:y2", "Organization", crawl("", since="1999")), ("o:y3", "Organization", listed("Optics Optcs", est="1999")))
+    indexed = em.index_classes(em.read_nodes(df.unionByName(few)))
+    length = {r.nid: (r.length, r.src) for r in indexed.collect()}
+    average = sum(n for n, _ in length.values()) / len(length)
+    own = {}
+    for r in ii.weighted(ii.postings(indexed), {"Organization": len(length)}).orderBy(F.desc("x.own"), "x.g").collect():
+        own.setdefault(r.nid, {}).setdefault(r.x.t, (r.x.g, r.x.w))
+
+    def total(a, shared):
         best = {}
-        for (g, t), w in weight[a].items():
-            if t in has[b]:
-                best[g] = max(best.get(g, 0), w)
-        return sum(best.values())
-
-    def most(a):
-        best = {}
-        for (g, _), w in weight[a].items():
+        for t in shared:
+            g, w = own[a][t]
             best[g] = max(best.get(g, 0), w)
         return sum(best.values())
 
-    want = {}
-    for a in ids:
-        need = max(most(a) * em.LEAST_SHARE, math.log(n) + 1)
-        for source in set(ids.values()) - {ids[a]}:
-            scored = sorted((s for b in ids if ids[b] == source and (s := score(a, b)) >= need), reverse=True)
-            if scored:
-                want[(a, source)] = scored[:2]
+    share, want = 0.3, {}
+    need = {a: share * total(a, own[a]) for a in own}
+    for a in own:
+        for b in own:
+            if length[a][1] != length[b][1]:
+                shared = own[a].keys() & own[b].keys()
+                if min(total(a, shared), total(b, shared)) >= max(need[a], need[b]) > 0:
+                    norm = (ii.K1 + 1) / (1 + ii.K1 * (1 - ii.B + ii.B * length[b][0] / average))
+                    want.setdefault((a, length[b][1]), []).append((round(total(a, shared) * norm / ii.UNIT, 3), b))
     got = {}
-    for r in em.search(indexed, 2).orderBy("nth").collect():
-        got.setdefault((r.nid, r.other_source), []).append(r.score)
-    assert got.keys() == want.keys()
-    assert all(abs(x - y) < 1e-2 for k in want for x, y in zip(want[k], got[k], strict=True))
+    for r in ii.search(indexed, share).collect():
+        got.setdefault((r.nid, r.other_src), []).append((round(r.score, 3), r.other_id, round(r.next_score, 3)))
+    assert got.keys() == want.keys() and len(want) > 60
+    for key, found in want.items():
+        best = max(s for s, _ in found)
+        assert {b for s, b in found if s > best - 2e-3} == {b for _, b, _ in got[key]}
+        rival = sorted((s for s, _ in found), reverse=True)[1:2] or [0]
+        assert all(abs(s - best) < 2e-3 and abs(n - rival[0]) < 2e-3 for s, _, n in got[key])
+
+
+def test_confidence_is_fitted_without_labels():
+    """The fit finds held-out matches of a made-up mixture, never seeing which pairs they are."""
+    rng = random.Random(4)
+
+    def pair(match):
+        pick = lambda yes, no, p: yes if rng.random() < p else no
+        good = 0.9 if match else 0.15
+        out = {"name": pick("same", "other", good), "city": pick("same", "other", good), "date": pick("month", "other", good), "gap": pick("3", "0", good)}
+        return {k: v for k, v in out.items() if rng.random() < 0.9}
+
+    truth = [rng.random() < 0.6 for _ in range(4000)]
+    seen = [pair(m) for m in truth]
+    constant, weights = em.fit(seen[:2000])
+    right = sum((em.confidence(p, weights, constant) >= 0.5) == m for p, m in zip(seen[2000:], truth[2000:], strict=True))
+    assert right >= 0.93 * 2000
+    assert abs(em.confidence({}, weights, constant) - 0.6) < 0.05
+    with pytest.raises(ValueError):
+        em.fit([{}] * (em.FIT_PAIRS + 1))
+
+
+def test_names_in_any_script_and_unknown_attributes(spark):
+    df, _ = world(spark, 20)
+    two = nodes(
+        spark,
+        ("o:r1", "Organization", registry("Северсталь Оптика", headquarters="Череповец")), ("o:r2", "Organization", crawl("Северсталь Оптика", based_in="Череповец")),
+        ("o:z1", "Organization", {"name": "Wotan Klamm", "attributes": {"headquarters": "Uxmal", "motto": ["per aspera"]}}), ("o:z2", "Organization", listed("Wotan Klamm", motto="Per Aspera")),
+    )
+    got = {tuple(r)[:2] for r in em.matches(df.unionByName(two)).collect()}
+    assert {("o:r1", "o:r2"), ("o:z1", "o:z2")} <= got
+
+
+def test_all_versions_of_a_node_count(spark):
+    df, _ = world(spark, 20)
+    two = nodes(spark, ("o:v1", "Organization", registry("Trukloun Group")), ("o:v1", "Organization", registry("Zzz Nothing")), ("o:v2", "Organization", listed("Trukloun")))
+    assert ("o:v1", "o:v2") in {tuple(r)[:2] for r in em.matches(df.unionByName(two)).collect()}
 
 
 def test_other_things_of_the_same_brand_are_no_match(spark):
