@@ -70,7 +70,7 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for (run, _), links in hierarchy.component_groups(batches):
+    for run, links in hierarchy.component_groups(batches):
         parents: dict[str, int] = {}
         below: dict[str, list[str]] = {}
         for child, parent in links:
@@ -104,7 +104,7 @@ def topological_levels(nodes: DataFrame, links: DataFrame, component_links: int
     named = real.select("run_id", F.col("task_id").alias("child"), F.col("depends_on").alias("parent"))
     small, large = hierarchy.co_located(named.unionByName(there.select("run_id", F.col("task_id").alias("child"), F.lit(None).cast("string").alias("parent"))), component_links)
     found = small.mapInPandas(_levels, "run_id string, task_id string, level int")
-    if large.isEmpty():
+    if large is None:
         return found
     left = cut(large.where("parent is not null").select("run_id", F.col("child").alias("task_id"), F.col("parent").alias("depends_on")))
     waiting = cut(large.select("run_id", F.col("child").alias("task_id")).distinct())

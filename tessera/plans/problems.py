@@ -68,6 +68,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_
 SQL: dict[str, str] = {
     "p1_found": sql.P1_FOUND,
     "p1_descendants": sql.P1_DESCENDANTS,
+    "p1_hierarchy": sql.P1_HIERARCHY,
+    "p1_back_edges": sql.P1_BACK_EDGES,
     "p2_found": sql.P2_FOUND,
     "p3_found": sql.P3_FOUND,
     "p3_periods": sql.P3_PERIODS,

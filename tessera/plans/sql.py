@@ -88,6 +88,51 @@ down(run_id, task_id, descendant_id) as (
 select run_id, task_id, descendant_id from down
 """
 
+# of every node: the smallest of its shortest paths from a root; nodes that no root reaches start at the smallest node on a
+# cycle that reaches them and that no smaller such node reaches
+_PATHS = f"""
+with recursive {_DEPS},
+named as (
+  select distinct run_id, {clean('task_id')} as child, {clean('depends_on')} as parent from task_dependencies
+  where run_id is not null and {clean('task_id')} is not null),
+nodes as (select run_id, child as task_id from named union select run_id, parent from named where parent is not null),
+reach(run_id, a, b) as (
+  select run_id, parent, child from deps
+  union
+  select r.run_id, r.a, d.child from reach r join deps d on d.run_id = r.run_id and d.parent = r.b),
+cyclic as (select run_id, a as task_id from reach where a = b),
+roots as (select * from nodes n where not exists (select 1 from deps d where d.run_id = n.run_id and d.child = n.task_id)),
+unrooted as (
+  select * from nodes n where not exists (select 1 from roots r where r.run_id = n.run_id and r.task_id = n.task_id)
+    and not exists (select 1 from roots r join reach x on x.run_id = r.run_id and x.a = r.task_id where r.run_id = n.run_id and x.b = n.task_id)),
+free as (select u.* from unrooted u join cyclic c using (run_id, task_id)),
+starts as (
+  select * from roots
+  union all
+  select * from free f where not exists (
+    select 1 from free g join reach x on x.run_id = g.run_id and x.a = g.task_id where g.run_id = f.run_id and x.b = f.task_id and g.task_id < f.task_id)),
+ways(run_id, task_id, path) as (
+  select run_id, task_id, [task_id] from starts
+  union all
+  select w.run_id, d.child, list_append(w.path, d.child) from ways w join deps d on d.run_id = w.run_id and d.parent = w.task_id
+  where not list_contains(w.path, d.child)),
+paths as (
+  select run_id, task_id, path from ways
+  qualify row_number() over (partition by run_id, task_id order by case when (run_id, path[1]) in (select (run_id, task_id) from roots) then '' else path[1] end, len(path), path) = 1)
+"""
+
+P1_HIERARCHY = _PATHS + """
+select p.run_id, p.task_id, path[1] as root_id, len(path) - 1 as depth, path, c.task_id is not null as in_cycle
+from paths p left join cyclic c on c.run_id = p.run_id and c.task_id = p.task_id
+"""
+
+P1_BACK_EDGES = _PATHS + """
+select d.run_id, d.parent as from_id, d.child as to_id
+from deps d join reach x on x.run_id = d.run_id and x.a = d.child and x.b = d.parent
+join paths p on p.run_id = d.run_id and p.task_id = d.parent join paths q on q.run_id = d.run_id and q.task_id = d.child
+where len(q.path) < len(p.path) or (len(q.path) = len(p.path) and q.path <= p.path)
+"""
+
 
 def _refs(name: str, row: str, ref: str, time: str) -> str:
     return f"select '{name}' as table_name, run_id, {clean(row)} as row_id, {clean(ref)} as ref_id, min({time}) as ref_time from {name} where {clean(ref)} is not null group by all"
