@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from tessera.llm import leakage
 
 WORDS = "the crew of Prüfung measured coverage near Zolauk while inspection hours fell below plan because risers had cracked twice under load and nobody could say whether thermography or radiography was to blame for it in the second campaign of that wet year".split()
@@ -83,11 +85,42 @@ def test_same_passage_twice_clashing_columns_and_bound(spark):
     text = " ".join(WORDS)
     df = docs(spark, [text]).selectExpr("*", "1 as item_id", "2 as words")
     assert sorted(tuple(r) for r in leakage.leaked(df, items(spark, [text, text])).collect()) == [(0, 0), (0, 1)]
-    try:
+    with pytest.raises(ValueError):
         leakage.leaks(df, items(spark, [text]), most_chars=10)
-        raise AssertionError("not refused")
-    except ValueError:
-        pass
+    other = " ".join(reversed(WORDS))
+    many = leakage.leaks(docs(spark, [text, other]), items(spark, [text, other, text]), most_chars=len(text))  # several automata
+    assert sorted((r.doc_id, r.item_id) for r in many.collect()) == [(0, 0), (0, 2), (1, 1)]
+
+
+def hits(words, changed):
+    texts = ["in front of it " + " ".join(w) + " and after it" for w in changed]
+    p = leakage.Passages([(0, " ".join(words))])
+    return [bool(p.stretches(t)) for t in texts]
+
+
+def test_one_slip_at_every_place_of_the_shortest_stretch():
+    cut = WORDS[8:26]
+    assert len(cut) == 18
+    assert hits(WORDS, [change(cut, at, how) for at in range(1, 17) for how in ("change", "drop", "add")]) == [True] * 48
+    assert hits(WORDS, [change(cut, at, "change") for at in (0, 17)] + [cut[1:], cut[:-1]]) == [False] * 4
+
+
+def test_several_slips():
+    cut = WORDS[8:26]
+    pairs = [change(change(cut, a, "change"), b, how) for a in range(1, 15) for b in range(a + 2, 17) for how in ("change", "drop", "add")]
+    assert all(hits(WORDS, pairs))
+    # three in a stretch of 18 words, wherever they are, and every fifth word of 24
+    threes = [change(change(change(cut, a, "change"), b, "change"), c, "change") for a in range(1, 13) for b in range(a + 2, 15) for c in range(b + 2, 17)]
+    assert all(hits(WORDS, threes))
+    assert hits(WORDS, [[("something" if i % 5 == 4 else w) for i, w in enumerate(WORDS[6:30])]]) == [True]
+
+
+def test_other_figures_are_another_statement():
+    said = "with worn probes in place of new ones the yield at Homem fell from 594 to 26 during three long night shifts".split()
+    other = [{"594": "2274", "26": "1644"}.get(w, w) for w in said]
+    assert hits(said, [said, other, change(said, 13, "change")]) == [True, False, True]
+    long = [*WORDS[:12], "17", *WORDS[12:]]
+    assert hits(long, [["18" if w == "17" else w for w in long]]) == [True]  # long runs on both sides
 
 
 def test_a_very_long_text(spark):
