@@ -67,10 +67,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(table(spark, d, "documents"))
 
 
+def p9_published(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that the published rules are stated for."""
+    return quality.published_stats(table(spark, d, "documents"))
+
+
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics, label and failed rules of every document."""
     return quality.quality(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_sizes, p6_found, p6_matches, p7_found, p7_containers, p7_fill, p8_found, p8_spans, p8_items, p9_found, p9_stats)}
-SQL: dict[str, str] = {"p4_found": sql.P4_FOUND, "p4_sizes": sql.P4_SIZES, "p7_found": sql.P7_FOUND}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_sizes, p6_found, p6_matches, p7_found, p7_containers, p7_fill, p8_found, p8_spans, p8_items, p9_found, p9_published, p9_stats)}
+SQL: dict[str, str] = {"p4_found": sql.P4_FOUND, "p4_sizes": sql.P4_SIZES, "p7_found": sql.P7_FOUND, "p9_published": sql.P9_PUBLISHED}

@@ -1,10 +1,10 @@
 """Per-document text statistics, and rules that tell prose from lists, tables and junk.
 
 Method: all statistics are built-in column expressions (no Python per row): lengths, symbols, closing punctuation, bullets
-and common words per line, summed per document in one pass over its text. Fixed thresholds then decide, and each rule that
-fails is recorded as a reason. The thresholds follow published rule sets for web text (share of common words, symbol and
-bullet shares, lines that end in punctuation), applied to lines and weighted by characters, so that a text is judged by the
-larger part of its characters.
+and common words, in one pass without a shuffle. Fixed thresholds of published rule sets then apply, and each rule that
+fails is recorded as a reason. Of the published rules some fail for prose too (broken lines, figures, short texts, a short list): these
+are recorded as remarks and do not decide. As the published rules alone do not tell by which kind the larger part of the
+characters is, a last rule judges lines and weighs them by characters.
 """
 
 from __future__ import annotations
@@ -35,6 +35,41 @@ CLOSED = r"[.!?…]['\"”’»)\]]*$"
 MIN_SENTENCE, MIN_BROKEN = 80, 38
 MIN_COMMON, MIN_LETTERS, MAX_GARBLED, MIN_WORDS = 0.1, 0.7, 0.06, 3
 
+#: Published thresholds. Gopher's quality rules (Rae et al. 2021, table A1): 50 to 100,000 words, mean word length 3
+#: to 10, at most 0.1 hash signs or ellipses a word, at most 90 % of lines with a bullet and 30 % with an ellipsis at their
+#: end, 80 % of words with a letter, two common words. FineWeb's (Penedo et al. 2024): at least 12 % of lines closed by
+#: punctuation, at most 67 % of lines of 30 characters or fewer.
+GOPHER_WORDS, GOPHER_WORD_LENGTH, GOPHER_SYMBOLS, GOPHER_BULLETS, GOPHER_ELLIPSES, GOPHER_LETTERS, GOPHER_COMMON = (50, 100_000), (3, 10), 0.1, 0.9, 0.3, 0.8, 2
+FINEWEB_CLOSED, FINEWEB_SHORT, FINEWEB_SHORT_LINE = 0.12, 0.67, 30
+BLANKS = " \t\r\n"
+
+
+def published_stats(documents: DataFrame) -> DataFrame:
+    """doc_id, words, mean_word_length, symbol_ratio, letter_word_share, lines, closed_line_share, bullet_line_share,
+    ellipsis_line_share, short_line_share: the statistics that the published rules are stated for. Words are what blanks
+    separate, lines are those that are not blank; shares of an empty text are null."""
+    return documents.select("doc_id", *[c.alias(name) for name, c in _published(F.coalesce("text", F.lit(""))).items()])
+
+
+def _published(text: Column) -> dict[str, Column]:
+    word = f"[^{BLANKS}]"
+    words = F.regexp_count(text, F.lit(f"{word}+"))
+    symbols = F.length(text) - F.length(F.replace(text, F.lit("#"), F.lit(""))) + F.regexp_count(text, F.lit(r"\.\.\.|…"))
+    lines = F.filter(F.transform(F.split(text, "[\r\n]+"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    share = lambda a, b: F.round(F.try_divide(a.cast("double"), b), 6)
+    of_lines = lambda test: share(F.size(F.filter(lines, test)), F.size(lines))
+    return {
+        "words": words.cast("long"),
+        "mean_word_length": share(_left(text, f"[{BLANKS}]+"), words),
+        "symbol_ratio": share(symbols, words),
+        "letter_word_share": share(F.regexp_count(text, F.lit(rf"{word}*\p{{L}}{word}*")), words),
+        "lines": F.size(lines),
+        "closed_line_share": of_lines(lambda x: F.right(x, F.lit(1)).isin(*".!?…\"'”’»)]")),
+        "bullet_line_share": of_lines(lambda x: F.substring(x, 1, 1).isin(*"-*•‣◦▪●○·–—+")),
+        "ellipsis_line_share": of_lines(lambda x: (F.right(x, F.lit(1)) == "…") | (F.right(x, F.lit(3)) == "...")),
+        "short_line_share": of_lines(lambda x: F.length(x) <= FINEWEB_SHORT_LINE),
+    }
+
 
 def _bind(value: Column, then) -> Column:
     """then(value) with value computed once."""
@@ -58,7 +93,7 @@ def document_stats(documents: DataFrame) -> DataFrame:
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r \u0085]"), lambda x: F.rtrim(x))
     text = F.coalesce("text", F.lit(""))
     whole = [_left(text, r"[^\p{L}\p{N}]+").alias("word_chars"), _left(text, r"[\p{L}\p{N}\s]+").alias("symbols")]
-    cut = documents.select("doc_id", *whole, F.explode(F.array(lines)).alias("lines"))
+    cut = documents.select("doc_id", *whole, *[c.alias(f"published_{name}") for name, c in _published(text).items()], F.explode(F.array(lines)).alias("lines"))
 
     def is_closed(line: Column) -> Column:
         return F.right(line, F.lit(4)).rlike(CLOSED)
@@ -98,7 +133,7 @@ def document_stats(documents: DataFrame) -> DataFrame:
 
         return _bind(F.btrim(raw, F.lit(" \t")), words_of)
 
-    measured = cut.select("doc_id", "word_chars", "symbols", F.explode(F.array(F.transform("lines", measure))).alias("m"))
+    measured = cut.select("doc_id", "word_chars", "symbols", *[c for c in cut.columns if c.startswith("published_")], F.explode(F.array(F.transform("lines", measure))).alias("m"))
     total = lambda pick: F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + pick(x))
     of = lambda kind, what: total(lambda x: F.when(x["kind"] == kind, what(x)).otherwise(0))
     one = lambda x: F.lit(1)
@@ -117,6 +152,7 @@ def document_stats(documents: DataFrame) -> DataFrame:
         of("fragment", one).alias("fragment_lines"),
         of("broken", one).alias("broken_lines"),
         *[of(k, size).alias(f"{k}_chars") for k in KINDS],
+        *[c for c in measured.columns if c.startswith("published_")],
     )
 
 
@@ -125,11 +161,13 @@ KINDS = ("prose", "broken", "bullet", "table", "symbol", "uncommon", "fragment",
 
 def quality(documents: DataFrame) -> DataFrame:
     """doc_id, words, mean_word_length, symbol_ratio, closed_line_share, common_word_share, prose_share, is_prose, label,
-    reasons.
+    reasons, remarks.
 
-    A text is prose if at least half of its characters lie in lines of running sentences. label names what it is otherwise
-    by the most characters: list, table or junk. reasons lists each rule that fails: blank, few_common_words, bullets,
-    cells, symbols, fragments, garbled, little_prose. Shares of an empty text are null.
+    reasons lists the rules that fail; a text is prose if there are none. blank; word_length, symbols, bullets, ellipses,
+    common_words (Gopher); and by characters of lines few_common_words, list, cells, unbroken,
+    fragments, garbled (each more than half), little_prose (less than half in running sentences). remarks lists those
+    published rules that fail for much prose as well: word_count, words_without_letters (Gopher), open_lines, short_lines (FineWeb).
+    label names what a text is otherwise by the most characters: list, table or junk. Shares of an empty text are null.
     """
     share = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b)), 6)
     s = document_stats(documents)
@@ -139,28 +177,42 @@ def quality(documents: DataFrame) -> DataFrame:
     listed = F.col("bullet_chars") + F.col("fragment_chars")
     junk = F.col("garbled_chars") + F.col("uncommon_chars") + F.col("symbol_chars")
     over = lambda c: F.col("chars") < 2 * c
-    prose = (F.col("chars") > 0) & (2 * F.col("prose_chars") >= F.col("chars"))
+    there = F.col("chars") > 0
+    p = lambda name: F.col(f"published_{name}")
     failed = [
-        (F.col("chars") == 0, "blank"),
+        (~there, "blank"),
+        ((p("mean_word_length") < GOPHER_WORD_LENGTH[0]) | (p("mean_word_length") > GOPHER_WORD_LENGTH[1]), "word_length"),
+        (p("symbol_ratio") > GOPHER_SYMBOLS, "symbols"),
+        (p("bullet_line_share") > GOPHER_BULLETS, "bullets"),
+        (p("ellipsis_line_share") > GOPHER_ELLIPSES, "ellipses"),
+        (there & (F.col("common_words") < GOPHER_COMMON), "common_words"),
         (over(F.col("uncommon_chars")), "few_common_words"),
-        (over(F.col("bullet_chars")), "bullets"),
+        (over(F.col("bullet_chars")), "list"),
         (over(F.col("table_chars")), "cells"),
-        (over(F.col("symbol_chars")), "symbols"),
+        (over(F.col("symbol_chars")), "unbroken"),
         (over(F.col("fragment_chars")), "fragments"),
         (over(F.col("garbled_chars")), "garbled"),
-        ((F.col("chars") > 0) & ~prose, "little_prose"),
+        (there & (2 * F.col("prose_chars") < F.col("chars")), "little_prose"),
+    ]
+    remarks = [
+        (there & ~p("words").between(*GOPHER_WORDS), "word_count"),
+        (p("letter_word_share") < GOPHER_LETTERS, "words_without_letters"),
+        (p("closed_line_share") < FINEWEB_CLOSED, "open_lines"),
+        (p("short_line_share") > FINEWEB_SHORT, "short_lines"),
     ]
-    label = F.when(prose, "prose").when((F.col("table_chars") >= junk) & (F.col("table_chars") >= listed) & (F.col("table_chars") > 0), "table").when((listed >= junk) & (listed > 0), "list").otherwise("junk")
-    return s.select(
+    named = lambda rules: F.filter(F.array(*[F.when(c, name) for c, name in rules]), lambda x: x.isNotNull())
+    label = F.when((F.col("table_chars") >= junk) & (F.col("table_chars") >= listed) & (F.col("table_chars") > 0), "table").when((listed >= junk) & (listed > 0), "list").otherwise("junk")
+    judged = s.select(
         "doc_id", "words",
         share("word_chars", "words").alias("mean_word_length"),
         share("symbols", "words").alias("symbol_ratio"),
         share("closed_lines", "lines").alias("closed_line_share"),
         share("common_words", "words").alias("common_word_share"),
         share("prose_chars", "chars").alias("prose_share"),
-        prose.alias("is_prose"), label.alias("label"),
-        F.filter(F.array(*[F.when(c, name) for c, name in failed]), lambda x: x.isNotNull()).alias("reasons"),
+        label.alias("otherwise"), named(failed).alias("reasons"), named(remarks).alias("remarks"),
     )
+    prose = F.size("reasons") == 0
+    return judged.select(*judged.columns[:7], prose.alias("is_prose"), F.when(prose, "prose").otherwise(F.col("otherwise")).alias("label"), "reasons", "remarks")
 
 
 def not_prose(documents: DataFrame) -> DataFrame:

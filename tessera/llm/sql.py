@@ -34,3 +34,21 @@ with sized as (
   from documents)
 select budget_id, doc_id from sized, token_budgets where n > capacity_tokens
 """
+
+_LINES = r"list_filter(list_transform(regexp_split_to_array(t, '[\r\n]+'), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '')"
+
+P9_PUBLISHED = rf"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+counted as (
+  select doc_id, len(regexp_extract_all(t, '[^ \t\r\n]+')) as words, length(regexp_replace(t, '[ \t\r\n]+', '', 'g')) as chars,
+         length(t) - length(replace(t, '#', '')) + len(regexp_extract_all(t, '\.\.\.|…')) as symbols,
+         len(regexp_extract_all(t, '[^ \t\r\n]*\p{{L}}[^ \t\r\n]*')) as lettered, {_LINES} as ls
+  from texts)
+select doc_id, words::bigint as words, round(chars::double / nullif(words, 0), 6) as mean_word_length, round(symbols::double / nullif(words, 0), 6) as symbol_ratio,
+       round(lettered::double / nullif(words, 0), 6) as letter_word_share, len(ls)::int as lines,
+       round(len(list_filter(ls, lambda x: contains('.!?…"''”’»)]', right(x, 1))))::double / nullif(len(ls), 0), 6) as closed_line_share,
+       round(len(list_filter(ls, lambda x: contains('-*•‣◦▪●○·–—+', left(x, 1))))::double / nullif(len(ls), 0), 6) as bullet_line_share,
+       round(len(list_filter(ls, lambda x: right(x, 1) = '…' or right(x, 3) = '...'))::double / nullif(len(ls), 0), 6) as ellipsis_line_share,
+       round(len(list_filter(ls, lambda x: length(x) <= 30))::double / nullif(len(ls), 0), 6) as short_line_share
+from counted
+"""

@@ -45,8 +45,10 @@ def test_labels_and_reasons(judged):
     assert judged["bullets"].label == "list" and "bullets" in judged["bullets"].reasons
     assert judged["pipes"].label == "table" and judged["html"].label == "table"
     assert judged["menu"].label == "table" or judged["menu"].label == "junk"
+    assert judged["base64"].reasons[0] == "word_length" and "short_lines" in judged["plain_list"].remarks
+    assert judged["with_list"].remarks == ["word_count", "short_lines"] and "word_count" in judged["de"].remarks
     assert judged["base64"].label == "junk" and judged["blank"].reasons == ["blank"] and judged["null"].reasons == ["blank"]
-    assert all(bool(r.reasons) != r.is_prose for r in judged.values() if r.label != "prose")
+    assert all(bool(r.reasons) != r.is_prose and (r.label == "prose") == r.is_prose for r in judged.values())
 
 
 def test_statistics(spark):
