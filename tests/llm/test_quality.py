@@ -42,7 +42,7 @@ def test_prose_is_told_from_the_rest(judged):
 
 
 def test_labels_and_reasons(judged):
-    assert judged["bullets"].label == "list" and "bullets" in judged["bullets"].reasons
+    assert judged["bullets"].label == "list" and "list" in judged["bullets"].reasons
     assert judged["pipes"].label == "table" and judged["html"].label == "table"
     assert judged["menu"].label == "table" or judged["menu"].label == "junk"
     assert judged["base64"].reasons[0] == "word_length" and "short_lines" in judged["plain_list"].remarks
