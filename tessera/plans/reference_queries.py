@@ -290,13 +290,12 @@ def injection_flags(s, d):
 @query
 def injection_scan(s, d):
     """Risk and findings of every text, its normalised form and its decoded views."""
-    scanned = table(s, d, "documents").select("doc_id", content.scan_udf("text").alias("s"))
-    return scanned.select("doc_id", "s.risk", F.array_join(F.transform("s.findings", lambda f: f["code"]), ",").alias("codes"))
+    return content.scan(table(s, d, "documents"), "doc_id").select("doc_id", "risk", F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
 
 
 @query
 def decoded_views(s, d):
-    return table(s, d, "documents").select("doc_id", F.size(content.decoded_views_udf("text")).alias("views"))
+    return table(s, d, "documents").select("doc_id", F.size(content.decoded_views(F.col("text"))).alias("views"))
 
 
 @query
@@ -306,13 +305,13 @@ def pii_flags(s, d):
 
 @query
 def redact_text(s, d):
-    r = table(s, d, "documents").select("doc_id", content.redact_udf("text").alias("r"))
+    r = table(s, d, "documents").select("doc_id", content.redacted(F.col("text")).alias("r"))
     return r.select("doc_id", "r.text", F.array_join("r.classes", ",").alias("classes"))
 
 
 @query
 def normalized_text(s, d):
-    return table(s, d, "documents").select("doc_id", content.normalise_udf("text").alias("text"), F.length(content.compact_udf("text")).alias("compact_chars"))
+    return table(s, d, "documents").select("doc_id", content.folded(F.col("text")).alias("text")).withColumn("compact_chars", F.length(content.close(F.col("text"))))
 
 
 @query
