@@ -47,6 +47,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_containers(spark, d), table(spark, d, "token_budgets"))
 
 
+def p7_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers of each budget hold, and how many hold too much."""
+    return packing.totals(p7_containers(spark, d), table(spark, d, "token_budgets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the test items they give away."""
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -77,5 +82,5 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_sizes, p6_found, p6_matches, p7_found, p7_containers, p7_fill, p8_found, p8_spans, p8_items, p9_found, p9_published, p9_stats)}
-SQL: dict[str, str] = {"p4_found": sql.P4_FOUND, "p4_sizes": sql.P4_SIZES, "p7_found": sql.P7_FOUND, "p9_published": sql.P9_PUBLISHED}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_sizes, p6_found, p6_matches, p7_found, p7_containers, p7_fill, p7_totals, p8_found, p8_spans, p8_items, p9_found, p9_published, p9_stats)}
+SQL: dict[str, str] = {"p4_found": sql.P4_FOUND, "p4_sizes": sql.P4_SIZES, "p7_found": sql.P7_FOUND, "p7_totals": sql.P7_TOTALS, "p9_published": sql.P9_PUBLISHED}

@@ -5,27 +5,28 @@ each document (attention stays inside a document); documents, largest first, go
 still has room. Only a document larger than the capacity is divided: into full pieces and one rest, which is packed like a
 document.
 
-Scale: documents are dealt by hash to shards of about SHARD_ITEMS items, each packed on its own by one task; a shard leaves
+Scale: documents and pieces are dealt by hash to shards of about SHARD_ITEMS pieces, each packed on its own by one task; a shard leaves
 at most its last sequences underfilled, so the waste doesn't grow with the corpus.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..session import cut
 
 #: Fixed value: GPT-2's published split pattern. (?U) gives \\s its Unicode meaning in Java.
 GPT2_SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Items one task packs at once, on average.
+#: Documents and pieces that one task packs at once, on average.
 SHARD_ITEMS = 20_000
-#: The most budgets (rows that go to the driver) of one call.
-MOST_BUDGETS = 1_000
+#: Budgets that one branch of the plan packs for; more take several branches.
+SOME_BUDGETS = 200
 #: Width of the model the costs are estimated for: attention over n tokens costs as much as n / (6 * WIDTH) tokens' rest.
 WIDTH = 1024
 
@@ -71,19 +72,25 @@ def pack(documents: DataFrame, budgets: DataFrame, shard_items: int = SHARD_ITEM
     texts have no tokens and take no room. A row is an item: repeated documents are packed as often as they come. Budgets
     without a positive capacity pack nothing.
     """
-    sized = cut(documents.select("doc_id", token_count(F.col("text")).alias("size")))
-    items = sized.count()
-    shards = max(1, -(-items // shard_items))
-    capacities = budgets.where("capacity_tokens > 0").select("budget_id", F.col("capacity_tokens").cast("int")).distinct().limit(MOST_BUDGETS + 1).collect()
-    if len(capacities) > MOST_BUDGETS:
-        raise ValueError(f"more than {MOST_BUDGETS} budgets")
+    # numbers over a checkpoint stay the same, and deal equal ids to different shards
+    sized = cut(documents.select("doc_id", token_count(F.col("text")).alias("size"))).withColumn("item", F.monotonically_increasing_id())
+    capacities = sorted({(r["budget_id"], int(r["capacity_tokens"])) for r in budgets.where("capacity_tokens > 0").select("budget_id", "capacity_tokens").toLocalIterator()}, key=str)
     kind = budgets.schema["budget_id"].dataType
-    each = F.array(*[F.struct(F.lit(b).cast(kind).alias("budget_id"), F.lit(n).alias("capacity_tokens")) for b, n in sorted(capacities, key=str)]).cast(f"array<struct<budget_id:{kind.simpleString()},capacity_tokens:int>>")
-    per_budget = sized.select("*", F.inline(each))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity_tokens"))).cast("int")
+    parts = [_pack_some(sized, capacities[i : i + SOME_BUDGETS], kind, shard_items) for i in range(0, max(1, len(capacities)), SOME_BUDGETS)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pack_some(sized: DataFrame, capacities: list[tuple], kind: DataType, shard_items: int) -> DataFrame:
+    """pack for some budgets, which go into the plan as literals."""
+    pieces_for = lambda n: F.greatest(F.lit(1), F.ceil(F.col("size") / n)).cast("long")
+    totals = sized.agg(*[F.coalesce(F.sum(pieces_for(n)), F.lit(0)).alias(f"n{i}") for i, (_, n) in enumerate(capacities)], F.count("*").alias("items")).first()
+    shards = [max(1, -(-totals[f"n{i}"] // shard_items)) for i in range(len(capacities))]
+    each = F.array(*[F.struct(F.lit(b).cast(kind).alias("budget_id"), F.lit(n).alias("capacity_tokens"), F.lit(k).alias("shards")) for (b, n), k in zip(capacities, shards, strict=True)])
+    per_budget = sized.select("*", F.inline(each.cast(f"array<struct<budget_id:{kind.simpleString()},capacity_tokens:int,shards:bigint>>")))
+    pieces = pieces_for(F.col("capacity_tokens")).cast("int")
     cuts = per_budget.withColumn("pieces", pieces).select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     tokens = F.least(F.col("capacity_tokens"), F.col("size") - F.col("piece") * F.col("capacity_tokens"))
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("doc_id", "item", "piece"), F.col("shards"))
     dealt = cuts.select("budget_id", "capacity_tokens", "doc_id", "piece", "pieces", tokens.cast("int").alias("tokens"), shard.alias("shard"))
     kinds = dict(dealt.dtypes)
     return dealt.groupBy("budget_id", "shard").applyInPandas(_pack, f"budget_id {kinds['budget_id']}, container_id bigint, doc_id {kinds['doc_id']}, piece int, pieces int, tokens int")
@@ -104,6 +111,13 @@ def divided(packed: DataFrame) -> DataFrame:
 
 def fill(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     """budget_id, containers, tokens, unused_share of each budget."""
-    by = packed.groupBy("budget_id").agg(F.count_distinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    by = packed.groupBy("budget_id", "container_id").agg(F.sum("tokens").alias("tokens")).groupBy("budget_id").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
     room = F.col("containers") * F.col("capacity_tokens")
     return by.join(F.broadcast(budgets.select("budget_id", "capacity_tokens").distinct()), "budget_id").select("budget_id", "containers", "tokens", F.round(1 - F.col("tokens") / room, 6).alias("unused_share"))
+
+
+def totals(packed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """budget_id, documents, pieces, tokens, overfull (containers with more tokens than the capacity) of each budget."""
+    by = packed.groupBy("budget_id", "container_id").agg(F.count_if(F.col("piece") == 0).alias("documents"), F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    named = by.join(F.broadcast(budgets.select("budget_id", "capacity_tokens").distinct()), "budget_id")
+    return named.groupBy("budget_id").agg(F.sum("documents").alias("documents"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("overfull"))

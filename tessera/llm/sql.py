@@ -26,13 +26,19 @@ _NOT_BLANK = r"[\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 _OTHER = r"[^\t-\r\x{85}\p{Z}\p{L}\p{N}]"
 _PIECES = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?{_OTHER}+|{_WS}+"
 
-P7_FOUND = rf"""
+_SIZED = rf"""
 with sized as (
   select doc_id, len(regexp_extract_all(text, '{_PIECES}'))
        + len(regexp_extract_all(text, '{_WS}{_NOT_BLANK}[^\t-\r\x{{85}}\p{{Z}}]'))
        + len(regexp_extract_all(text, '{_WS} ''(?:s|t|re|ve|m|ll|d)(?:[^\p{{L}}]|$)')) as n
   from documents)
-select budget_id, doc_id from sized, token_budgets where n > capacity_tokens
+"""
+
+P7_FOUND = _SIZED + "select budget_id, doc_id from sized, token_budgets where n > capacity_tokens"
+
+P7_TOTALS = _SIZED + """
+select budget_id, count(*) as documents, sum(greatest(1, ceil(coalesce(n, 0) / capacity_tokens)))::bigint as pieces, sum(coalesce(n, 0))::bigint as tokens, 0::bigint as overfull
+from sized, token_budgets group by budget_id
 """
 
 _LINES = r"list_filter(list_transform(regexp_split_to_array(t, '[\r\n]+'), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '')"

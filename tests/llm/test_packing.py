@@ -87,3 +87,15 @@ def test_a_very_long_text(spark):
     df = docs(spark, [text, "x"])
     got = packing.pack(df, budgets(spark, 1000)).where("doc_id = 0").collect()
     assert sum(r.tokens for r in got) == len(GPT2.findall(text)) and max(r.tokens for r in got) == 1000
+
+
+def test_many_budgets_and_long_documents(spark, monkeypatch):
+    """No bound on the number of budgets; shards are sized by pieces, however long single documents are."""
+    monkeypatch.setattr(packing, "SOME_BUDGETS", 2)
+    df = docs(spark, ["word " * 3000, "a b c", "d"])
+    packed = packing.pack(df, budgets(spark, 8, 16, 32, 64, 128), 100)
+    got = {r.budget_id: r for r in packing.totals(packed, budgets(spark, 8, 16, 32, 64, 128)).collect()}
+    size = len(GPT2.findall("word " * 3000))
+    assert {b: (r.documents, r.pieces, r.tokens, r.overfull) for b, r in got.items()} == {i + 1: (3, -(-size // c) + 2, size + 4, 0) for i, c in enumerate((8, 16, 32, 64, 128))}
+    shards = {(r.budget_id, r.container_id >> 32) for r in packed.collect()}
+    assert len([s for s in shards if s[0] == 1]) == 4
