@@ -18,12 +18,30 @@ def _material(data: Column) -> Column:
     return F.coalesce(F.get_json_object(data, "$.material") != "false", F.lit(True))
 
 
-def violations(tasks: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, episodes: DataFrame, decisions: DataFrame) -> DataFrame:
+def _used(edges: DataFrame, episodes: DataFrame) -> DataFrame:
+    """run_id, episode_id, injection_risk, content_hash, there of the episodes that edges name."""
+    return edges.where("source_episode_id is not null").select("run_id", F.col("source_episode_id").alias("episode_id")).distinct().join(episodes.select("run_id", "episode_id", "injection_risk", "content_hash", F.lit(True).alias("there")), ["run_id", "episode_id"], "left")
+
+
+def _altered(used: DataFrame, contents: DataFrame) -> DataFrame:
+    """used episodes that can be verified again, with problem: content_missing or hash_mismatch."""
+    now = contents.select("run_id", "episode_id", F.concat(F.lit("sha256:"), F.sha2(F.col("content"), 256)).alias("now"))
+    checked = used.where("there and not coalesce(injection_risk in ('quarantine', 'unverified-legacy'), false)").join(now, ["run_id", "episode_id"], "left")
+    return checked.withColumn("problem", F.when(F.col("now").isNull(), "content_missing").when(~F.col("now").eqNullSafe(F.col("content_hash")), "hash_mismatch")).where("problem is not null")
+
+
+def _in_review(proposals: DataFrame) -> DataFrame:
+    return proposals.where("decision = 'review' and reversed_at is null")
+
+
+def violations(tasks: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, episodes: DataFrame, decisions: DataFrame, contents: DataFrame | None = None, interrupts: DataFrame | None = None, proposals: DataFrame | None = None) -> DataFrame:
     """run_id, rule, subject_id, severity of every violation in the runs.
 
     Rules: dangling_dependency, fake_dependency, self_verification, incomplete_task, claim_without_decision,
     claim_needs_review (claims are material unless they say otherwise), missing_episode, quarantined_episode,
-    legacy_episode (a warning). Each is one join; a subject is named once per rule.
+    legacy_episode (a warning); with contents (run_id, episode_id, content) content_missing and hash_mismatch; with
+    interrupts (run_id, interrupt_id, status) open_interrupt; with proposals unresolved_merge (a warning). Each is one join;
+    a subject is named once per rule.
     """
     row = lambda df, rule, subject, severity="error": df.select("run_id", F.lit(rule).alias("rule"), F.col(subject).alias("subject_id"), F.lit(severity).alias("severity")).distinct()
     child = tasks.select("run_id", "task_id", "task_type", "owner", "consumes")
@@ -33,7 +51,15 @@ def violations(tasks: DataFrame, links: DataFrame, nodes: DataFrame, edges: Data
     empty = F.array().cast("array<string>")
     last = latest_decisions(decisions).select("run_id", F.col("claim_id").alias("node_id"), "status")
     claims = nodes.where("node_type = 'Claim'").where(_material(F.col("data_json"))).select("run_id", "node_id").join(last, ["run_id", "node_id"], "left")
-    used = edges.where("source_episode_id is not null").select("run_id", F.col("source_episode_id").alias("episode_id")).distinct().join(episodes.select("run_id", "episode_id", "injection_risk", F.lit(True).alias("there")), ["run_id", "episode_id"], "left")
+    used = _used(edges, episodes)
+    more = []
+    if contents is not None:
+        altered = _altered(used, contents)
+        more += [row(altered.where(F.col("problem") == rule), rule, "episode_id") for rule in ("content_missing", "hash_mismatch")]
+    if interrupts is not None:
+        more.append(row(interrupts.where("status = 'OPEN'"), "open_interrupt", "interrupt_id"))
+    if proposals is not None:
+        more.append(row(_in_review(proposals), "unresolved_merge", "proposal_id", "warning"))
     return reduce(DataFrame.unionByName, [
         row(deps.where("has_child is null or has_parent is null"), "dangling_dependency", "task_id"),
         row(whole.where(~F.arrays_overlap(F.coalesce("consumes", empty), F.coalesce("produces", empty))), "fake_dependency", "task_id"),
@@ -44,14 +70,19 @@ def violations(tasks: DataFrame, links: DataFrame, nodes: DataFrame, edges: Data
         row(used.where("there is null"), "missing_episode", "episode_id"),
         row(used.where("injection_risk = 'quarantine'"), "quarantined_episode", "episode_id"),
         row(used.where("injection_risk = 'unverified-legacy'"), "legacy_episode", "episode_id", "warning"),
+        *more,
     ])
 
 
-def metrics(tasks: DataFrame, nodes: DataFrame, edges: DataFrame, episodes: DataFrame, decisions: DataFrame) -> DataFrame:
+def metrics(tasks: DataFrame, nodes: DataFrame, edges: DataFrame, episodes: DataFrame, decisions: DataFrame, contents: DataFrame | None = None, interrupts: DataFrame | None = None, proposals: DataFrame | None = None) -> DataFrame:
     """run_id, metric, value: tasks, incomplete_tasks, claims, material_claims, adjudicated_claims, <status>_claims,
-    source_episodes, used_source_episodes, quarantined_sources_used, legacy_unverified_sources of each run that has any."""
+    source_episodes, used_source_episodes, quarantined_sources_used, legacy_unverified_sources of each run that has any;
+    with the further tables (see violations) tampered_sources, open_interrupts, unresolved_merge_reviews."""
     long = lambda df, **counts: df.groupBy("run_id").agg(*[c.cast("long").alias(n) for n, c in counts.items()]).select("run_id", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in counts])))
-    used = edges.where("source_episode_id is not null").select("run_id", F.col("source_episode_id").alias("episode_id")).distinct().join(episodes.select("run_id", "episode_id", "injection_risk"), ["run_id", "episode_id"], "left")
+    used = _used(edges, episodes)
+    more = [] if contents is None else [long(_altered(used, contents), tampered_sources=F.count("*"))]
+    more += [] if interrupts is None else [long(interrupts.where("status = 'OPEN'"), open_interrupts=F.count("*"))]
+    more += [] if proposals is None else [long(_in_review(proposals), unresolved_merge_reviews=F.count("*"))]
     last = latest_decisions(decisions)
     return reduce(DataFrame.unionByName, [
         long(tasks, tasks=F.count("*"), incomplete_tasks=F.count_if(F.coalesce(F.col("state") != "SUCCEEDED", F.lit(True)))),
@@ -60,6 +91,7 @@ def metrics(tasks: DataFrame, nodes: DataFrame, edges: DataFrame, episodes: Data
         last.groupBy("run_id", F.concat(F.coalesce("status", F.lit("unknown")), F.lit("_claims")).alias("metric")).agg(F.count("*").alias("value")),
         long(episodes, source_episodes=F.count("*")),
         long(used, used_source_episodes=F.count("*"), quarantined_sources_used=F.count_if(F.col("injection_risk") == "quarantine"), legacy_unverified_sources=F.count_if(F.col("injection_risk") == "unverified-legacy")),
+        *more,
     ])
 
 
@@ -85,6 +117,16 @@ def report_lines(nodes: DataFrame, edges: DataFrame, episodes: DataFrame, decisi
     ])
 
 
+#: The heading of each section of report_lines.
+SECTIONS = {"findings": "Executive findings", "conflicts": "Contested or conflicting evidence", "gaps": "Unresolved research gaps", "sources": "Source register"}
+
+
+def report_pieces(lines: DataFrame) -> DataFrame:
+    """run_id, text: the lines of reports with the heading of each section that has some, a row each."""
+    heading = F.create_map(*[F.lit(x) for k, h in SECTIONS.items() for x in (k, f"## {h}")])[F.col("section")]
+    return lines.select("run_id", F.col("line").alias("text")).unionByName(lines.select("run_id", heading.alias("text")).distinct())
+
+
 def report_markers(reports: DataFrame) -> DataFrame:
     """run_id, kind (claim, edge, source), marker_id: the markers in report texts (run_id, text), once."""
     of = lambda letter, kind: F.transform(F.regexp_extract_all("text", F.lit(rf"\[{letter}:([^\]]+)\]"), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("marker_id")))
@@ -93,7 +135,7 @@ def report_markers(reports: DataFrame) -> DataFrame:
 
 
 def report_errors(reports: DataFrame, edges: DataFrame, episodes: DataFrame, decisions: DataFrame) -> DataFrame:
-    """run_id, rule, subject_id: what is wrong with the report texts.
+    """run_id, rule, subject_id: what is wrong with the report texts (run_id, text; a run's report may come in pieces).
 
     Rules: claim_without_decision, claim_not_publishable, claim_without_cited_edge, unresolved_edge, unresolved_source,
     missing_heading.
@@ -106,7 +148,8 @@ def report_errors(reports: DataFrame, edges: DataFrame, episodes: DataFrame, dec
     claims = of("claim", "claim_id").join(last, ["run_id", "claim_id"], "left")
     decided = claims.where("status is not null")
     cited = decided.select("run_id", "claim_id", F.explode("allowed").alias("edge_id")).join(of("edge", "edge_id"), ["run_id", "edge_id"], "left_semi").select("run_id", "claim_id")
-    heads = reports.select("run_id", F.explode(F.filter(F.array(*[F.when(~F.contains(F.coalesce("text", F.lit("")), F.lit(f"## {h}")), h) for h in HEADINGS]), lambda x: x.isNotNull())).alias("heading"))
+    there = reports.groupBy("run_id").agg(*[F.bool_or(F.contains(F.coalesce("text", F.lit("")), F.lit(f"## {h}"))).alias(f"h{i}") for i, h in enumerate(HEADINGS)])
+    heads = there.select("run_id", F.explode(F.filter(F.array(*[F.when(~F.col(f"h{i}"), h) for i, h in enumerate(HEADINGS)]), lambda x: x.isNotNull())).alias("heading"))
     return reduce(DataFrame.unionByName, [
         row(claims.where("status is null"), "claim_without_decision", "claim_id"),
         row(decided.where(~F.col("status").isin(*PUBLISHABLE)), "claim_not_publishable", "claim_id"),

@@ -127,9 +127,14 @@ def components(s, d):
     return traverse.communities(cleaned(s, d, "graph_nodes"), cleaned(s, d, "graph_edges"))
 
 
+def _levels(s, d):
+    return traverse.topological_levels(cleaned(s, d, "tasks"), cleaned(s, d, "task_dependencies").where("depends_on is not null"))
+
+
 @query
 def topo_levels(s, d):
-    return traverse.topological_levels(cleaned(s, d, "tasks"), cleaned(s, d, "task_dependencies").where("depends_on is not null"))
+    """Levels of all tasks, -1 on and below cycles."""
+    return _levels(s, d).withColumn("level", F.coalesce("level", F.lit(-1)))
 
 
 # retrieval
@@ -202,7 +207,15 @@ def retrieve_theme(s, d):
 def retrieve_context(s, d):
     found, n, e = _retrieve(s, d, CHANGE_QUESTION, at(AT))
     contexts = retrieval.serialize(found, n, e, cleaned(s, d, "source_episodes"))
-    return retrieval.traces(found, CHANGE_QUESTION, contexts)
+    return retrieval.traces(found, CHANGE_QUESTION, contexts, e)
+
+
+@query
+def retrieve_path_traces(s, d):
+    """Traces of the path question, with paths and what is missing."""
+    found, n, e = _retrieve(s, d, PATH_QUESTION, at(AT))
+    t = retrieval.traces(found, PATH_QUESTION, retrieval.serialize(found, n, e, cleaned(s, d, "source_episodes")), e)
+    return t.select("run_id", F.size("node_ids").alias("nodes"), F.transform("paths", lambda p: F.array_join(p, " ")).alias("paths"), "missing_links")
 
 
 @query
@@ -401,7 +414,7 @@ def task_graph_lint(s, d):
 
 @query
 def level_widths(s, d):
-    return taskgraph.level_widths(topo_levels(s, d))
+    return taskgraph.level_widths(_levels(s, d))
 
 
 @query
@@ -465,13 +478,22 @@ def _store(s, d):
 
 @query
 def audit_violations(s, d):
-    return audit.violations(*_store(s, d))
+    return audit.violations(*_store(s, d), proposals=cleaned(s, d, "fusion_proposals"))
 
 
 @query
 def audit_metrics(s, d):
     t, _, n, e, ep, v = _store(s, d)
-    return audit.metrics(t, n, e, ep, v)
+    return audit.metrics(t, n, e, ep, v, proposals=cleaned(s, d, "fusion_proposals"))
+
+
+@query
+def audit_tampering(s, d):
+    """Audit of sources whose text was their locator: later versions were altered since, those of no authority are lost."""
+    t, l, n, e, ep, v = _store(s, d)
+    stored = ep.withColumn("content_hash", F.concat(F.lit("sha256:"), F.sha2("locator", 256)))
+    now = ep.where("locator is not null and authority is not null").select("run_id", "episode_id", F.when(F.col("version") > 1, F.concat("locator", F.lit("!"))).otherwise(F.col("locator")).alias("content"))
+    return audit.violations(t, l, n, e, stored, v, now).where("rule in ('content_missing', 'hash_mismatch')")
 
 
 def _publishable(s, d):
@@ -486,9 +508,8 @@ def report_lines(s, d):
 
 
 def _reports(s, d):
-    """Each claim's finding as a report of its own, with one heading."""
-    lines = report_lines(s, d).where("section = 'findings'")
-    return lines.select("run_id", F.concat(F.lit("## Executive findings\n"), "line").alias("text"))
+    """The whole report of every run, in pieces."""
+    return audit.report_pieces(report_lines(s, d))
 
 
 @query

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import content
 from ..functions.text import QUESTION_CLASSES, STOP_WORDS
-from ..operators import resolve
+from ..operators import audit, resolve, verify
 from ..sources.clean import cleaned_sql
-from .reference_queries import AT, QUESTION, RECORDED_BY
+from .reference_queries import AT, CHANGE_QUESTION, GAP_QUESTION, PATH_QUESTION, QUESTION, RECORDED_BY, THEME_QUESTION
 
 EDGES = cleaned_sql("graph_edges", ["run_id", "edge_id", "edge_type", "from_id", "to_id", "valid_from", "valid_to", "recorded_at", "source_episode_id", "provenance_json", "status"])
 NODES = cleaned_sql("graph_nodes", ["run_id", "node_id", "node_type", "data_json", "ontology_version", "created_at"])
@@ -209,7 +211,12 @@ union select run_id, 'claim_without_decision', node_id, 'error' from m where sta
 union select run_id, 'claim_needs_review', node_id, 'error' from m where status = 'needs_review'
 union select run_id, 'missing_episode', source_episode_id, 'error' from u where episode_id is null
 union select run_id, 'quarantined_episode', source_episode_id, 'error' from u where injection_risk = 'quarantine'
-union select run_id, 'legacy_episode', source_episode_id, 'warning' from u where injection_risk = 'unverified-legacy'""",
+union select run_id, 'legacy_episode', source_episode_id, 'warning' from u where injection_risk = 'unverified-legacy'
+union select run_id, 'unresolved_merge', proposal_id, 'warning' from {FUSIONS} where decision = 'review' and reversed_at is null""",
+    "audit_tampering": f"""
+with e as {EDGES}, ep as {EPISODES}, u as (select distinct run_id, source_episode_id as episode_id from e where source_episode_id is not null)
+select run_id, case when locator is null or authority is null then 'content_missing' else 'hash_mismatch' end as rule, episode_id as subject_id, 'error' as severity
+from u join ep using (run_id, episode_id) where coalesce(injection_risk not in ('quarantine', 'unverified-legacy'), true) and (locator is null or authority is null or version > 1)""",
 }
 
 
@@ -250,7 +257,8 @@ select run_id, coalesce(status, 'unknown') || '_claims', count(*) from last grou
 select run_id, 'source_episodes', count(*) from ep group by 1 union all
 select run_id, 'used_source_episodes', count(*) from u group by 1 union all
 select run_id, 'quarantined_sources_used', count(*) filter (injection_risk = 'quarantine') from u group by 1 union all
-select run_id, 'legacy_unverified_sources', count(*) filter (injection_risk = 'unverified-legacy') from u group by 1""",
+select run_id, 'legacy_unverified_sources', count(*) filter (injection_risk = 'unverified-legacy') from u group by 1 union all
+select run_id, 'unresolved_merge_reviews', count(*) from {FUSIONS} where decision = 'review' and reversed_at is null group by 1""",
     "report_lines": f"""
 with n as (select run_id, node_id as claim_id, coalesce(nullif(json_extract_string({_JSON}, '$.text'), ''), nullif(json_extract_string({_JSON}, '$.claim'), ''), node_id) as text from {NODES} where node_type = 'Claim'),
 e as {EDGES}, ep as {EPISODES},
@@ -282,3 +290,127 @@ sets as (select run_id, node_id, list(next_id) as s from near group by 1, 2)
 select p.run_id, left_id, right_id, round(case when len(list_distinct(coalesce(a.s, []) || coalesce(b.s, []))) = 0 then 0.0 else len(list_intersect(coalesce(a.s, []), coalesce(b.s, [])))::double / len(list_distinct(coalesce(a.s, []) || coalesce(b.s, []))) end, 6) as neighborhood
 from pairs p left join sets a on a.run_id = p.run_id and a.node_id = left_id left join sets b on b.run_id = p.run_id and b.node_id = right_id""",
 }
+
+
+# labels of components: the smallest node spreads until nothing changes
+def _components(edges: str) -> str:
+    return f"""
+link as (select run_id, from_id as a, to_id as b from {edges} where from_id is not null and to_id is not null union select run_id, to_id, from_id from {edges} where from_id is not null and to_id is not null),
+cc(run_id, node_id, label) using key (run_id, node_id) as (
+  select distinct run_id, a, a from link
+  union
+  select x.run_id, x.node_id, min(x.label) from (select l.run_id, l.b as node_id, c.label from cc c join link l on l.run_id = c.run_id and l.a = c.node_id) x
+  join recurring.cc r on r.run_id = x.run_id and r.node_id = x.node_id where x.label < r.label group by x.run_id, x.node_id)"""
+
+
+_LEVELS = f"""
+t as {TASKS}, d as (select distinct d.run_id, d.task_id, d.depends_on from {DEPS} d join t a on a.run_id = d.run_id and a.task_id = d.task_id join t b on b.run_id = d.run_id and b.task_id = d.depends_on),
+below(run_id, a, b) as (select run_id, depends_on, task_id from d union select x.run_id, x.a, d.task_id from below x join d on d.run_id = x.run_id and d.depends_on = x.b),
+tainted as (select run_id, a as task_id from below where a = b union select x.run_id, x.b from below x join below c on c.run_id = x.run_id and c.a = c.b and c.a = x.a),
+lv(run_id, task_id, level) as (
+  select run_id, task_id, 0 from t where not exists (select 1 from d where d.run_id = t.run_id and d.task_id = t.task_id)
+  union
+  select d.run_id, d.task_id, lv.level + 1 from lv join d on d.run_id = lv.run_id and d.depends_on = lv.task_id
+  where not exists (select 1 from tainted x where x.run_id = d.run_id and x.task_id = d.task_id)),
+levels as (select t.run_id, t.task_id, max(lv.level) as level from t left join lv on lv.run_id = t.run_id and lv.task_id = t.task_id group by 1, 2)"""
+
+# RE2 has no look-around: the characters before and after are taken along
+_SENSITIVE = dict(content.SENSITIVE) | {"payment_card": r"(?:^|[^0-9])(?:[0-9][ -]*){12,18}[0-9](?:[^0-9]|$)", "phone": r"(?:^|\W)\+?[0-9][0-9 .()/-]{7,}[0-9](?:\W|$)"}
+
+
+def _lexical(question: str) -> str:
+    terms = re.findall(r"[a-z0-9_:-]+", question.lower())
+    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms))
+    return f"""
+n as {NODES}, e as {EDGES}, cur as (select * from e where {_AT}),
+docs as (select run_id, node_id as id, regexp_extract_all(lower(concat_ws(' ', node_type, data_json)), '[a-z0-9_:-]+') as toks from n),
+stats as (select run_id, count(*) as n, avg(len(toks)) as mean from docs group by 1),
+terms as (select * from (values {values}) t(i, term)),
+tf as (select run_id, d.id, len(d.toks) as l, t.i, len(list_filter(d.toks, lambda x: x = t.term)) as tf from docs d, terms t),
+df as (select run_id, i, count(*) filter (tf > 0) as df from tf group by 1, 2),
+scored as (
+  select run_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / greatest(mean, 1.0)))), 6) as score
+  from tf join df using (run_id, i) join stats using (run_id) where tf > 0 group by 1, 2),
+lexical as (select run_id, id, row_number() over (partition by run_id order by score desc, id) as rank from scored qualify rank <= 20)"""
+
+
+_PLACED = "select run_id, id as node_id, row_number() over (partition by run_id order by p, id) as place from (select run_id, id, min((stage, rank)) as p from staged group by 1, 2) qualify place <= 12"
+_MARKS = f"""
+lines as ({SQL['report_lines']}),
+texts as (select run_id, line as text from lines union all select distinct run_id, case section {' '.join(f"when '{k}' then '## {h}'" for k, h in audit.SECTIONS.items())} end from lines),
+marks as ({' union '.join(f"select run_id, '{kind}' as kind, unnest(regexp_extract_all(text, '{chr(92)}[{c}:([^{chr(92)}]]+){chr(92)}]', 1)) as marker_id from texts" for c, kind in (("C", "claim"), ("E", "edge"), ("S", "source")))})"""
+_GATES = ", ".join(f"('{m}', {t}::double, {str(less).lower()})" for m, t, less, _ in audit.GATES)
+_TYPED = f"select distinct e.run_id as ontology_id, e.edge_type as name, f.node_type as domain, t.node_type as range from {EDGES} e join {NODES} f on f.run_id = e.run_id and f.node_id = e.from_id join {NODES} t on t.run_id = e.run_id and t.node_id = e.to_id"
+
+
+def _type_paths(start: str) -> str:
+    """Shortest, then smallest paths of relation names from a type, level by level."""
+    out = [f"rel as ({_TYPED})", f"h0 as (select distinct ontology_id, '{start}' as kind, []::varchar[] as path from rel)"]
+    for i in range(1, 5):
+        out.append(f"h{i} as (select * from h{i - 1} union all select h.ontology_id, r.range, min(list_append(h.path, r.name)) from h{i - 1} h join rel r on r.ontology_id = h.ontology_id and r.domain = h.kind where len(h.path) = {i - 1} and not exists (select 1 from h{i - 1} k where k.ontology_id = h.ontology_id and k.kind = r.range) group by 1, 2)")
+    return ", ".join(out)
+
+
+SQL |= {
+    "components": f"with recursive e as {EDGES}, {_components('e')} select n.run_id, coalesce(c.label, n.node_id) as community_id, count(*) as members from {NODES} n left join cc c on c.run_id = n.run_id and c.node_id = n.node_id group by 1, 2",
+    "topo_levels": f"with recursive {_LEVELS} select run_id, task_id, coalesce(level, -1) as level from levels",
+    "level_widths": f"with recursive {_LEVELS} select run_id, level, count(*) as width from levels where level is not null group by 1, 2",
+    "task_graph_lint": f"""
+with recursive {_LEVELS},
+p as (select distinct run_id, task_id, depends_on from {DEPS} where depends_on is not null),
+made as (select distinct run_id, task_id, unnest(produces) as artifact from t),
+j as (select p.*, c.task_type, c.owner, c.consumes, q.owner as parent_owner, q.produces from p join t c on c.run_id = p.run_id and c.task_id = p.task_id join t q on q.run_id = p.run_id and q.task_id = p.depends_on),
+fan as (select run_id, task_id, count(*) as n from p group by 1, 2)
+select distinct m.run_id, m.task_id, 'shared_output' as rule from made m join (select run_id, artifact from made group by 1, 2 having count(*) > 1) s on s.run_id = m.run_id and s.artifact is not distinct from m.artifact
+union all select distinct run_id, task_id, 'missing_task' from p where not exists (select 1 from t where t.run_id = p.run_id and t.task_id = p.task_id)
+union all select distinct run_id, task_id, 'missing_dependency' from p where not exists (select 1 from t where t.run_id = p.run_id and t.task_id = p.depends_on)
+union all select distinct run_id, task_id, 'fake_dependency' from j where not coalesce(list_has_any(coalesce(consumes, []), coalesce(produces, [])), false)
+union all select distinct j.run_id, j.task_id, 'self_verification' from j join fan f on f.run_id = j.run_id and f.task_id = j.task_id and f.n = 1 where task_type = 'verification' and owner = parent_owner
+union all select run_id, task_id, 'fan_in' from fan where n > 32
+union all select run_id, task_id, 'cycle' from levels where level is null""",
+    "pii_flags": "select doc_id, array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(text, '{_enc(p)}') then '{name}' end" for name, p in _SENSITIVE.items()) + "], lambda x: x is not null), ',') as classes from documents",
+    "report_markers": f"with {_MARKS} select * from marks",
+    "report_errors": f"""
+with {_MARKS}, e as {EDGES}, ep as {EPISODES},
+last as (select run_id, claim_id, case when status = 'supported' then 'verified' else status end as status, coalesce(support_edge_ids, []) || coalesce(contradiction_edge_ids, []) as allowed from {_LAST}),
+c as (select m.run_id, m.marker_id as claim_id, l.status, l.allowed from marks m left join last l on l.run_id = m.run_id and l.claim_id = m.marker_id where kind = 'claim')
+select run_id, 'claim_without_decision' as rule, claim_id as subject_id from c where status is null
+union select run_id, 'claim_not_publishable', claim_id from c where status not in ('verified', 'contested')
+union select run_id, 'claim_without_cited_edge', claim_id from c where status is not null and not exists (select 1 from marks m where m.run_id = c.run_id and m.kind = 'edge' and list_contains(c.allowed, m.marker_id))
+union select run_id, 'unresolved_edge', marker_id from marks m where kind = 'edge' and not exists (select 1 from e where e.run_id = m.run_id and e.edge_id = m.marker_id)
+union select run_id, 'unresolved_source', marker_id from marks m where kind = 'source' and not exists (select 1 from ep where ep.run_id = m.run_id and ep.episode_id = m.marker_id)
+union select run_id, 'missing_heading', h from (select run_id, unnest({[str(h) for h in audit.HEADINGS]!r}) as h from (select distinct run_id from texts)) x where not exists (select 1 from texts t where t.run_id = x.run_id and contains(t.text, '## ' || x.h))""",
+    "promotion_gate": f"""
+with v as ({SQL['claim_status']}),
+m as (select avg(lexical_entailment) as citation_entailment, avg(case when supports > 0 then 1.0 else 0.0 end) as claim_evidence_coverage, count(*) filter (status = 'rejected')::double as unsupported_material_claims from v),
+x as (unpivot m on citation_entailment, claim_evidence_coverage, unsupported_material_claims into name metric value val)
+select g.metric, round(x.val, 6) as value, threshold, coalesce(case when less then round(x.val, 6) <= threshold else round(x.val, 6) >= threshold end, false) as passed, false as regressed
+from (values {_GATES}) g(metric, threshold, less) left join x on x.metric = g.metric""",
+    "ontology_paths": f"with {_type_paths('Organization')} select ontology_id, 'q1' as question_id, array_to_string(path, '>') as path from h4 where kind = 'Status'",
+    "ontology_errors": f"""
+with {_type_paths('Claim')}, ent as (select distinct run_id as ontology_id, node_type as name from {NODES} where node_type <> 'Status'),
+q as (select distinct ontology_id from rel), has as (select ontology_id, list(name) as names from ent group by 1)
+select q.ontology_id, null as subject, 'no_entities' as rule from q left join has using (ontology_id) where names is null
+union all select r.ontology_id, r.name, 'unknown_domain' from rel r left join has using (ontology_id) where not coalesce(list_contains(names, domain), false)
+union all select r.ontology_id, r.name, 'unknown_range' from rel r left join has using (ontology_id) where not coalesce(list_contains(names, range), false)
+union all select q.ontology_id, 'q1', 'unknown_start' from q left join has using (ontology_id) where not coalesce(list_contains(names, 'Claim'), false)
+union all select q.ontology_id, 'q1', 'unknown_end' from q left join has using (ontology_id) where not coalesce(list_contains(names, 'Product'), false)
+union all select q.ontology_id, 'q1', 'no_path' from q join has using (ontology_id) where list_contains(names, 'Claim') and list_contains(names, 'Product') and not exists (select 1 from h4 where h4.ontology_id = q.ontology_id and kind = 'Product')""",
+    "retrieve_gap": f"""
+with {_lexical(GAP_QUESTION)},
+gap as (select run_id, node_id as id, row_number() over (partition by run_id order by node_id) as rank from n where node_type = 'Claim' and not exists (select 1 from e where e.run_id = n.run_id and e.to_id = n.node_id and e.edge_type = 'SUPPORTS')),
+staged as (select run_id, id, 0 as stage, rank from gap union all select run_id, id, 1, rank from lexical) {_PLACED}""",
+    "retrieve_temporal": f"""
+with {_lexical(CHANGE_QUESTION)},
+links as (select run_id, from_id as a, to_id as b from cur union select run_id, to_id, from_id from cur),
+near as (select run_id, id, min(hop) as hop from (select run_id, id, 0 as hop from lexical where rank <= 3 union all select l.run_id, k.b, 1 from lexical l join links k on k.run_id = l.run_id and k.a = l.id where rank <= 3) group by 1, 2),
+around as (select run_id, id, row_number() over (partition by run_id order by hop, id) as rank from near),
+fused as (select run_id, id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from lexical union all select * from around) group by 1, 2),
+staged as (select run_id, id, 1 as stage, row_number() over (partition by run_id order by score desc, id) as rank from fused) {_PLACED}""",
+    "retrieve_theme": f"""
+with recursive {_lexical(THEME_QUESTION)}, {_components('cur')},
+sized as (select n.run_id, coalesce(c.label, n.node_id) as community_id, count(*) as members from n left join cc c on c.run_id = n.run_id and c.node_id = n.node_id group by 1, 2),
+largest as (select run_id, community_id, row_number() over (partition by run_id order by members desc, community_id) as community from sized qualify community <= 12),
+few as (select l.run_id, c.node_id as id, l.community, row_number() over (partition by l.run_id, l.community_id order by c.node_id) as r from largest l join cc c on c.run_id = l.run_id and c.label = l.community_id qualify r <= 3),
+staged as (select run_id, id, 1 as stage, rank from lexical union all select run_id, id, 2, community * 3 + r from few) {_PLACED}""",
+}

@@ -159,11 +159,32 @@ def test_every_retrieval_plan_runs(spark):
         assert 0 < found["nodes"].count() <= 12
         context = retrieval.serialize(found, n, e, ep).first()
         assert context.context.startswith("NODE ") and context.token_estimate > 1
-        assert retrieval.traces(found, question, retrieval.serialize(found, n, e, ep)).count() == 1
+        assert retrieval.traces(found, question, retrieval.serialize(found, n, e, ep), e).count() == 1
     found = retrieval.retrieve(n, e, "path", ("n0", "n2"))
     assert [r.path for r in found["paths"].collect()] == [["n0", "e0", "n1", "e1", "n2"]]
 
 
+def test_paths_are_fused_one_by_one_with_notes_and_trace(spark):
+    n = frame(spark, NODE, *[("r", f"n{i}", "Organization", "{}") for i in range(8)])
+    e = edges(spark, *[edge(f"e{i}", 0, from_id=f"n{i}", to_id=f"n{i + 1}", source="ep") for i in range(4)])
+    found = retrieval.retrieve(n, e, "path", ("n2", "n0", "n6"))
+    assert [(r.place, r.path) for r in found["paths"].collect()] == [(1, ["n2", "e1", "n1", "e0", "n0"])]
+    assert [r.note for r in found["missing"].collect()] == ["No path found between n0 and n6 within 3 hops."]
+    assert [r.note for r in retrieval.retrieve(n, e, "path", ("n2",))["missing"].collect()] == ["Two linked entities are required for path retrieval."]
+    # two paths: the first one's nodes are fused and ranked before the second one is
+    two = retrieval.retrieve(n, e, "path", ("n0", "n1", "n2"))
+    place = {r.node_id: r.place for r in two["nodes"].collect()}
+    first = {x: i for i, x in enumerate(["n0", "n1"], 1)}
+    again = {x: 1 / (60 + first[x]) if x in first else 0 for x in ("n0", "n1", "n2")}
+    for i, x in enumerate(["n1", "n2"], 1):
+        again[x] += 1 / (60 + i)
+    assert sorted(place, key=place.get) == sorted(again, key=lambda x: (-round(again[x], 9), x))
+    contexts = retrieval.serialize(two, n, e, frame(spark, EPISODE, ("r", "ep", "s", 1, "l", "h", "g", "low")))
+    assert "\nPATH 1 n0 -> e0 -> n1\nPATH 2 n1 -> e1 -> n2" in contexts.first().context
+    trace = retrieval.traces(two, "path", contexts, e).first()
+    assert list(trace.edge_ids) == ["e0", "e1"] and list(trace.source_episode_ids) == ["ep"] and len(trace.paths) == 2 and list(trace.missing_links) == []
+
+
 # claims
 
 
