@@ -48,14 +48,21 @@ def published_stats(documents: DataFrame) -> DataFrame:
     """doc_id, words, mean_word_length, symbol_ratio, letter_word_share, lines, closed_line_share, bullet_line_share,
     ellipsis_line_share, short_line_share: the statistics that the published rules are stated for. Words are what blanks
     separate, lines are those that are not blank; shares of an empty text are null."""
-    return documents.select("doc_id", *[c.alias(name) for name, c in _published(F.coalesce("text", F.lit(""))).items()])
+    return _with_lines(documents).select("doc_id", *[c.alias(name) for name, c in _published().items()])
 
 
-def _published(text: Column) -> dict[str, Column]:
+def _with_lines(documents: DataFrame) -> DataFrame:
+    """doc_id, text (never null) and lines: those that are not blank."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.filter(F.transform(F.split(text, "[\\r\\n]+"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    return documents.select("doc_id", text.alias("text"), F.explode(F.array(lines)).alias("lines"))  # worked out once
+
+
+def _published() -> dict[str, Column]:
+    text, lines = F.col("text"), F.col("lines")
     word = f"[^{BLANKS}]"
     words = F.regexp_count(text, F.lit(f"{word}+"))
     symbols = F.length(text) - F.length(F.replace(text, F.lit("#"), F.lit(""))) + F.regexp_count(text, F.lit(r"\.\.\.|…"))
-    lines = F.filter(F.transform(F.split(text, "[\r\n]+"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
     share = lambda a, b: F.round(F.try_divide(a.cast("double"), b), 6)
     of_lines = lambda test: share(F.size(F.filter(lines, test)), F.size(lines))
     return {
@@ -93,7 +100,7 @@ def document_stats(documents: DataFrame) -> DataFrame:
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r \u0085]"), lambda x: F.rtrim(x))
     text = F.coalesce("text", F.lit(""))
     whole = [_left(text, r"[^\p{L}\p{N}]+").alias("word_chars"), _left(text, r"[\p{L}\p{N}\s]+").alias("symbols")]
-    cut = documents.select("doc_id", *whole, *[c.alias(f"published_{name}") for name, c in _published(text).items()], F.explode(F.array(lines)).alias("lines"))
+    cut = _with_lines(documents).select("doc_id", *whole, *[c.alias(f"published_{name}") for name, c in _published().items()], F.explode(F.array(lines)).alias("lines"))
 
     def is_closed(line: Column) -> Column:
         return F.right(line, F.lit(4)).rlike(CLOSED)
