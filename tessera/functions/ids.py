@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Separator of the parts of an id.
 UNIT = "\x1f"
@@ -18,9 +22,14 @@ def stable_id(prefix: str, *parts: Column, length: int = 24) -> Column:
     return F.concat(F.lit(f"{prefix}:"), stable_key(*parts, length=length))
 
 
+@F.pandas_udf(StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
+
+
 def loose_id(prefix: str, *parts: Column, length: int = 16) -> Column:
-    """Like stable_id over parts in lower case with single blanks."""
-    loose = [F.lower(F.trim(F.regexp_replace(F.coalesce(p.cast("string"), F.lit("")), r"\s+", " "))) for p in parts]
+    """Like stable_id over parts in NFC and lower case with single blanks."""
+    loose = [F.lower(F.trim(F.regexp_replace(_nfc(F.coalesce(p.cast("string"), F.lit(""))), r"\s+", " "))) for p in parts]
     return stable_id(prefix, *loose, length=length)
 
 

@@ -127,6 +127,43 @@ def report_pieces(lines: DataFrame) -> DataFrame:
     return lines.select("run_id", F.col("line").alias("text")).unionByName(lines.select("run_id", heading.alias("text")).distinct())
 
 
+def report_document(lines: DataFrame, as_of: Column) -> DataFrame:
+    """run_id, part, subject_id, text: the whole report of each run as rows in the order (part, subject_id), with all
+    HEADINGS; findings come twice, in brief and in detail. No run is ever collected: the rows are written as they are."""
+    sources = {1: "findings", 2: "findings", 3: "conflicts", 5: "gaps", 6: "sources"}
+    runs = lines.select("run_id").distinct()
+    fixed = {0: F.concat(F.lit("As of "), as_of.cast("string"), F.lit(".")), 4: F.lit("Only what the run store holds was considered.")}
+    heads = runs.select("run_id", F.inline(F.array(*[F.struct(F.lit(2 * i).alias("part"), F.lit(f"## {h}").alias("text")) for i, h in enumerate(HEADINGS)], *[F.struct(F.lit(2 * i + 1).alias("part"), t.alias("text")) for i, t in fixed.items()])))
+    body = [lines.where(F.col("section") == name).select("run_id", F.lit(2 * i + 1).alias("part"), "subject_id", F.col("line").alias("text")) for i, name in sources.items()]
+    return reduce(DataFrame.unionByName, [heads.select("run_id", "part", F.lit("").alias("subject_id"), "text"), *body])
+
+
+def report_metrics(pieces: DataFrame, edges: DataFrame, episodes: DataFrame) -> DataFrame:
+    """run_id, claims, sources, unsupported_claims, claim_evidence_coverage, citation_resolvability, unmarked_paragraphs, has_as_of of each run's
+    report (run_id, text; in pieces): how many of its claims have a SUPPORTS edge and of its sources an episode, prose
+    paragraphs of eight words or more without a claim marker, and whether an ISO as-of date stands in it."""
+    marks = report_markers(pieces)
+    of = lambda kind, name: marks.where(F.col("kind") == kind).select("run_id", F.col("marker_id").alias(name))
+    backed = edges.where("edge_type = 'SUPPORTS'").select("run_id", F.col("to_id").alias("claim_id"), F.lit(1).alias("yes")).distinct()
+    there = episodes.select("run_id", "episode_id", F.lit(1).alias("yes")).distinct()
+    claims = of("claim", "claim_id").join(backed, ["run_id", "claim_id"], "left").groupBy("run_id").agg(F.count("*").alias("claims"), F.count("yes").alias("backed"))
+    sources = of("source", "episode_id").join(there, ["run_id", "episode_id"], "left").groupBy("run_id").agg(F.count("*").alias("sources"), F.count("yes").alias("resolved"))
+    blocks = F.transform(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), lambda x: F.trim(x))
+    bare = F.filter(blocks, lambda x: ~F.substring(x, 1, 1).isin("#", "-", "|") & (F.regexp_count(x, F.lit(r"\S+")) >= 8) & ~x.rlike(r"\[C:[^\]]+\]"))
+    dated = F.col("text").rlike(r"(?is)\bas[- ]of\b.{0,30}\b20\d{2}-\d{2}-\d{2}\b")
+    prose = pieces.groupBy("run_id").agg(F.sum(F.size(bare)).alias("unmarked_paragraphs"), F.bool_or(F.coalesce(dated, F.lit(False))).alias("has_as_of"))
+    share = lambda part, whole: F.round(F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(1.0)), 4)
+    none = F.lit(0).cast("long")
+    out = prose.join(claims, "run_id", "left").join(sources, "run_id", "left").withColumns({c: F.coalesce(c, none) for c in ("claims", "backed", "sources", "resolved")})
+    return out.select("run_id", "claims", "sources", (F.col("claims") - F.col("backed")).alias("unsupported_claims"), share("backed", "claims").alias("claim_evidence_coverage"), share("resolved", "sources").alias("citation_resolvability"), "unmarked_paragraphs", "has_as_of")
+
+
+def threshold_failures(measured: DataFrame, least: dict[str, float]) -> DataFrame:
+    """run_id, metric, value of each metric column of report_metrics that is below its least value."""
+    rows = measured.select("run_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(v)).alias("least")) for m, v in least.items()])))
+    return rows.where("value is null or value < least").select("run_id", "metric", "value")
+
+
 def report_markers(reports: DataFrame) -> DataFrame:
     """run_id, kind (claim, edge, source), marker_id: the markers in report texts (run_id, text), once."""
     of = lambda letter, kind: F.transform(F.regexp_extract_all("text", F.lit(rf"\[{letter}:([^\]]+)\]"), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("marker_id")))

@@ -49,6 +49,20 @@ def evolution(previous: DataFrame, proposed: DataFrame) -> DataFrame:
     return old.join(new, ["kind", "name"], "full").withColumn("change", change).where("change is not null").select("kind", "name", "change", (F.col("change") != "added").alias("breaking"))
 
 
+def refused(previous: DataFrame, proposed: DataFrame, allow_breaking: bool = False) -> DataFrame:
+    """kind, name, change: what keeps a proposal from being stored beside the active version; none if breaking is allowed."""
+    return evolution(previous, proposed).where(F.col("breaking") & F.lit(not allow_breaking)).drop("breaking")
+
+
+def minimal(relations: DataFrame, questions: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """kind, name, domain, range: the smallest ontology that answers the questions: the relations on their paths, and the
+    types these join. relations: ontology_id, name, domain, range (see type_paths)."""
+    used = type_paths(relations, questions, max_hops).select("ontology_id", F.explode("path").alias("name")).distinct()
+    kept = relations.join(used, ["ontology_id", "name"], "left_semi").select("ontology_id", F.lit("relation").alias("kind"), "name", "domain", "range").distinct()
+    types = kept.select("ontology_id", F.explode(F.array("domain", "range")).alias("name")).distinct()
+    return kept.unionByName(types.select("ontology_id", F.lit("entity").alias("kind"), "name", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("range")))
+
+
 def register_versions(offers: DataFrame) -> DataFrame:
     """run_id, content_hash, version: the first offer of each content is the run's next version. offers: run_id, content_hash, seq."""
     first = offers.groupBy("run_id", "content_hash").agg(F.min("seq").alias("seq"))

@@ -47,9 +47,14 @@ def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def valid_at(at: Column) -> Column:
+    """Whether an edge is valid at a time (half open)."""
+    return (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))
+
+
 def as_of(edges: DataFrame, at: Column, recorded_by: Column | None = None, edge_type: str | None = None, from_id: str | None = None) -> DataFrame:
     """The edges valid at a time (half open), recorded by another if one is given. status plays no part."""
-    hit = (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))
+    hit = valid_at(at)
     if recorded_by is not None:
         hit = hit & (F.col("recorded_at") <= recorded_by)
     if edge_type is not None:
@@ -183,3 +188,9 @@ def lint(records: DataFrame) -> DataFrame:
         error(claims.where("status = 'contested' and (s = 0 or c = 0)"), "contested_without_both"),
         error(claims.where("status = 'candidate' and s = 0"), "candidate_without_support", "warning"),
     ])
+
+
+def lint_metrics(records: DataFrame) -> DataFrame:
+    """records, nodes, edges, claims, verified_claims, contested_claims of graph records (see lint): one row."""
+    node, claim = F.col("record_type") == "node", (F.col("record_type") == "node") & (F.col("node_type") == "Claim")
+    return records.agg(F.count("*").alias("records"), F.count_if(node).alias("nodes"), F.count_if(F.col("record_type") == "edge").alias("edges"), F.count_if(claim).alias("claims"), F.count_if(claim & (F.col("status") == "verified")).alias("verified_claims"), F.count_if(claim & (F.col("status") == "contested")).alias("contested_claims"))

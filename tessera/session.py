@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (single-machine tests).
+#: Used only where a single-machine session names no checkpoint folder (tests).
 FALLBACK_CHECKPOINT_DIR = "/tmp/tessera-checkpoints"
 
 
@@ -21,6 +21,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.files.maxPartitionBytes", "16m")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with their frames
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -28,11 +29,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder from spark.checkpoint.dir; set one only where nothing is set."""
+    """Take the shared folder from spark.checkpoint.dir. Only a session on one machine may do without: other executors
+    could not read a folder of this one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or FALLBACK_CHECKPOINT_DIR)
 
 
 def cut(df: DataFrame) -> DataFrame:

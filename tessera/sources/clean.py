@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runstore import clean_id, table
@@ -26,9 +26,13 @@ def once(df: DataFrame, keys: tuple[str, ...], arrival: str) -> DataFrame:
     return df.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
 
 
-def cleaned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def cleaned(spark: SparkSession, sf_dir: str, name: str, where: Column | None = None) -> DataFrame:
+    """The rows of a table, each once. where: a condition on columns in which deliveries of a row agree (any but ids and the
+    arrival time); it reaches the scan, before rows are brought together."""
     keys, arrival, ids = RULES[name]
     df = table(spark, sf_dir, name)
+    if where is not None:
+        df = df.where(where)
     return once(df.withColumns({c: clean_id(c) for c in ids}), keys, arrival)
 
 

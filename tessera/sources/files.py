@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -27,6 +30,40 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     df.write.mode(mode).json(path)
 
 
+def append_valid(df: DataFrame, path: str, rules: dict[str, Column]) -> DataFrame:
+    """Append the rows that keep all rules (name: condition) to JSON lines at path, if no row breaks one; else append
+    nothing. The rows that break one, with broken (the rules' names)."""
+    broken = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), name) for name, c in rules.items()]), lambda x: x.isNotNull())
+    bad = df.withColumn("broken", broken).where(F.size("broken") > 0)
+    if bad.isEmpty():
+        write_json_lines(df, path, "append")
+    return bad
+
+
+def write_document(spark: SparkSession, document: dict | list, path: str) -> None:
+    """One JSON document, written beside its place and moved there, so readers never see half of it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at, beside = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(beside)
+    out.write(bytearray(json.dumps(document, ensure_ascii=False, sort_keys=True, indent=2).encode()))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(beside, at):
+        raise OSError(f"cannot move {beside} to {path}")
+
+
+def read_document(spark: SparkSession, path: str) -> dict | list:
+    """One JSON document."""
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def write_report(document: DataFrame, path: str) -> None:
+    """Reports (see audit.report_document) as Markdown, a folder per run; rows are sorted on their way and never collected."""
+    ordered = document.repartition("run_id").sortWithinPartitions("run_id", "part", "subject_id")
+    ordered.select("run_id", "text").write.mode("overwrite").partitionBy("run_id").text(path)
+
+
 def blobs(contents: DataFrame) -> DataFrame:
     """content_hash, content: each distinct content once (contents: content, binary or text)."""
     return contents.select(F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), "content").dropDuplicates(["content_hash"])
