@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -60,3 +61,13 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], keys: list[str] | None = N
 def ranked(scores: DataFrame, keys: list[str], *order) -> DataFrame:
     """scores with rank from 1 within its keys."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def ranked_all(scores: DataFrame, *order) -> DataFrame:
+    """scores with rank from 1 over all rows, without bringing them into one task: rows are sorted by ranges, counted per
+    range, and numbered within their range from where the one before ends."""
+    placed = cut(scores.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per range
+    within = F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33)
+    return placed.join(F.broadcast(before), "__part").withColumn("rank", (F.col("__before") + within + 1).cast("int")).drop("__part", "__at", "__n", "__before")

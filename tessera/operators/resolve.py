@@ -61,14 +61,14 @@ def best_similarity_udf(left: pd.Series, right: pd.Series) -> pd.Series:
 def features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """run_id, node_id, node_type, name, aliases, identifiers, attributes (maps), neighbors of each node, from data_json.
 
-    Data that isn't JSON gives empty features.
+    A node without a name has its label for one. Data that isn't JSON gives empty features.
     """
-    data = F.from_json("data_json", "name string, aliases array<string>, identifiers map<string,string>, attributes map<string,string>")
+    data = F.from_json("data_json", "name string, label string, aliases array<string>, identifiers map<string,string>, attributes map<string,string>")
     empty_map = F.create_map().cast("map<string,string>")
     empty = F.array().cast("array<string>")
     near = both_ways(edges).groupBy("run_id", "node_id").agg(F.collect_set("next_id").alias("neighbors"))
     read = nodes.select("run_id", "node_id", "node_type", F.explode(F.array(data)).alias("d"))
-    read = read.select("run_id", "node_id", "node_type", F.coalesce("d.name", F.lit("")).alias("name"), F.coalesce("d.aliases", empty).alias("aliases"), F.coalesce("d.identifiers", empty_map).alias("identifiers"), F.coalesce("d.attributes", empty_map).alias("attributes"))
+    read = read.select("run_id", "node_id", "node_type", F.coalesce("d.name", "d.label", F.lit("")).alias("name"), F.coalesce("d.aliases", empty).alias("aliases"), F.coalesce("d.identifiers", empty_map).alias("identifiers"), F.coalesce("d.attributes", empty_map).alias("attributes"))
     return read.join(near, ["run_id", "node_id"], "left").withColumn("neighbors", F.coalesce("neighbors", empty))
 
 

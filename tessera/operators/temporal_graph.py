@@ -137,19 +137,19 @@ def conflict_pairs(edges: DataFrame, bucket_seconds: int = SHARD_SECONDS) -> Dat
 
 
 #: Node types, edge types with the node types they may lead from and to, and claim statuses of the record format.
-NODE_TYPES = "ResearchQuestion Hypothesis Claim EvidenceSpan Source Entity Event Method Dataset Finding ResearchGap".split()
-STATUSES = "candidate verified contested rejected superseded unknown".split()
+NODE_TYPES = ["ResearchQuestion", "Hypothesis", "Claim", "EvidenceSpan", "Source", "Entity", "Event", "Method", "Dataset", "Finding", "ResearchGap"]
+STATUSES = ["candidate", "verified", "contested", "rejected", "superseded", "unknown"]
 ENDPOINTS = {
-    "ASSERTED_BY": ("Claim", "Source"),
-    "SUPPORTS": ("EvidenceSpan", "Claim"),
-    "CONTRADICTS": ("EvidenceSpan", "Claim"),
-    "QUALIFIES": ("EvidenceSpan Claim", "Claim"),
-    "DERIVED_FROM": ("Finding Claim", "Claim Dataset Method"),
-    "ABOUT": ("Claim EvidenceSpan", "Entity Event"),
-    "SAME_AS": ("Entity", "Entity"),
-    "SUPERSEDES": ("Claim Source", "Claim Source"),
-    "ANSWERS": ("Finding Claim", "ResearchQuestion"),
-    "CITES": ("Source", "Source"),
+    "ASSERTED_BY": (["Claim"], ["Source"]),
+    "SUPPORTS": (["EvidenceSpan"], ["Claim"]),
+    "CONTRADICTS": (["EvidenceSpan"], ["Claim"]),
+    "QUALIFIES": (["EvidenceSpan", "Claim"], ["Claim"]),
+    "DERIVED_FROM": (["Finding", "Claim"], ["Claim", "Dataset", "Method"]),
+    "ABOUT": (["Claim", "EvidenceSpan"], ["Entity", "Event"]),
+    "SAME_AS": (["Entity"], ["Entity"]),
+    "SUPERSEDES": (["Claim", "Source"], ["Claim", "Source"]),
+    "ANSWERS": (["Finding", "Claim"], ["ResearchQuestion"]),
+    "CITES": (["Source"], ["Source"]),
 }
 
 
@@ -169,7 +169,7 @@ def lint(records: DataFrame) -> DataFrame:
     end = lambda c: known.select(F.col("node_id").alias(c), F.col("node_type").alias(f"{c}_type"))
     ends = edge.join(end("from_id"), "from_id", "left").join(end("to_id"), "to_id", "left")
     both = ends.where("from_id_type is not null and to_id_type is not null")
-    fits = reduce(Column.__or__, [(F.col("edge_type") == e) & F.col("from_id_type").isin(*a.split()) & F.col("to_id_type").isin(*b.split()) for e, (a, b) in ENDPOINTS.items()])
+    fits = reduce(Column.__or__, [(F.col("edge_type") == e) & F.col("from_id_type").isin(*a) & F.col("to_id_type").isin(*b) for e, (a, b) in ENDPOINTS.items()])
     evidence = edge.groupBy(F.col("to_id").alias("node_id")).agg(F.count_if(F.col("edge_type") == "SUPPORTS").alias("s"), F.count_if(F.col("edge_type") == "CONTRADICTS").alias("c"))
     claims = known.where("node_type = 'Claim'").join(evidence, "node_id", "left").select(F.col("node_id").alias("id"), "status", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("c", F.lit(0)).alias("c"))
     return reduce(DataFrame.unionByName, [

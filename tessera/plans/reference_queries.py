@@ -161,11 +161,11 @@ def bm25_all_scores(s, d):
 
 @query
 def rrf_fusion(s, d):
-    """BM25 and length, fused."""
+    """BM25 and length, fused, over all documents."""
     docs = table(s, d, "documents")
-    a = lexical.ranked(lexical.bm25_topk(_documents(s, d), QUESTION, 100), [], F.col("score").desc(), "id")
-    b = docs.select(F.col("doc_id").alias("id"), "n_chars").orderBy(F.col("n_chars").desc(), "id").limit(100)
-    return lexical.reciprocal_rank_fusion([a, lexical.ranked(b, [], F.col("n_chars").desc(), "id")])
+    a = lexical.ranked_all(lexical.bm25_scores(_documents(s, d), QUESTION), F.col("score").desc(), "id")
+    b = lexical.ranked_all(docs.select(F.col("doc_id").alias("id"), "n_chars"), F.col("n_chars").desc(), "id")
+    return lexical.reciprocal_rank_fusion([a, b])
 
 
 @query
@@ -652,7 +652,7 @@ def ontology_errors(s, d):
 
 @query
 def ontology_evolution(s, d):
-    """What changed in the relations of all runs from edges recorded by AT to all edges."""
+    """What changed in the relations of all runs from edges recorded by March 2023 to all edges."""
     def relations(e):
         n = cleaned(s, d, "graph_nodes").select("run_id", "node_id", "node_type")
         typed = e.join(n.toDF("run_id", "from_id", "domain"), ["run_id", "from_id"]).join(n.toDF("run_id", "to_id", "range"), ["run_id", "to_id"])

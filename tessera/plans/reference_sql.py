@@ -127,8 +127,8 @@ select i.run_id, i.edge_id, min(h.hop) + 1 as hop from inc i join h2 h on h.run_
     "bm25_all_scores": f"with {_bm25(QUESTION)} select id, score from scores where score > 0",
     "rrf_fusion": f"""
 with {_bm25(QUESTION)},
-a as (select id, row_number() over (order by score desc, id) as rank from scores order by rank limit 100),
-b as (select doc_id as id, row_number() over (order by n_chars desc, doc_id) as rank from documents order by rank limit 100)
+a as (select id, row_number() over (order by score desc, id) as rank from scores where score > 0),
+b as (select doc_id as id, row_number() over (order by n_chars desc, doc_id) as rank from documents)
 select id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from a union all select * from b) group by id""",
     "query_class": f"select trace_id, case {_CLASS} else 'direct' end as query_class from {TRACES}",
     "trace_token_estimate": rf"select trace_id, greatest(1, floor(len(list_filter(regexp_split_to_array(coalesce(query_text, ''), '\s+'), lambda w: w <> '')) * 4 / 3)::int) as token_estimate from {TRACES}",
@@ -226,7 +226,7 @@ _MATERIAL = "coalesce(json_extract_string(case when json_valid(data_json) then d
 _PLAIN = lambda c: f"trim(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'))"
 _JSON = "case when json_valid(data_json) then data_json end"
 _BLOCKS = f"""
-n as (select run_id, node_id, node_type, json_extract_string({_JSON}, '$.name') as name, json_extract({_JSON}, '$.identifiers') as ids, json_extract_string({_JSON}, '$.aliases[*]') as aliases
+n as (select run_id, node_id, node_type, coalesce(json_extract_string({_JSON}, '$.name'), json_extract_string({_JSON}, '$.label')) as name, json_extract({_JSON}, '$.identifiers') as ids, json_extract_string({_JSON}, '$.aliases[*]') as aliases
       from {NODES} where node_type in ('Organization', 'Product', 'Facility')),
 words as (
   select run_id, node_id, node_type || ':name:' || split_part({_PLAIN('name')}, ' ', 1) as key, split_part({_PLAIN('name')}, ' ', 1) as w from n

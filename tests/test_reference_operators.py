@@ -503,3 +503,10 @@ def test_lint_metrics(spark):
     df = frame(spark, "record_type string, node_type string, status string", ("node", "Claim", "verified"), ("node", "Claim", None), ("edge", None, "verified"), ("node", "X", "contested"))
     assert tuple(temporal_graph.lint_metrics(df).first()) == (4, 3, 1, 2, 1, 0)
     assert tuple(temporal_graph.lint_metrics(df.limit(0)).first()) == (0,) * 6
+
+
+def test_ranks_over_all_rows(spark):
+    df = frame(spark, "id long, score double", *[(i, float(i % 7)) for i in range(500)]).repartition(5)
+    got = {r.id: r.rank for r in lexical.ranked_all(df, F.col("score").desc(), "id").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(500), key=lambda i: (-(i % 7), i)), 1)}
+    assert lexical.ranked_all(df.limit(0), "id").count() == 0
