@@ -120,7 +120,7 @@ def features(data: str | None) -> dict:
     return {
         "source": source_of(fields),
         "other": sorted({plain(x).strip() for k, xs in fields.items() if k not in KNOWN_KEYS for x in xs}),
-        "words": [w for w in _WORD.findall(name) if w not in FILLERS and len(w) > 1 and not (3 < len(w) < 12 and any(w[0] == x[0] or w[-1] == x[-1] for x in LONG_FILLERS) and any(slips(w, x, 1) for x in LONG_FILLERS))],
+        "words": [w for w in _WORD.findall(name) if len(w) > 1 and not is_filler(w)],
         "codes": codes,
         "numbers": sorted({int(n) for n in _NUMBER.findall(name)}),
         "city": "".join(_WORD.findall(place)),
@@ -204,6 +204,23 @@ def slips(a: str, b: str, most: int = 2) -> bool:
     return row[-1] <= most
 
 
+def less_one(word: str) -> set[str]:
+    """The word, and the word with each of its letters left out: words one slip apart share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+_FILLERS_LESS_ONE = frozenset().union(*map(less_one, LONG_FILLERS))
+
+
+def is_filler(word: str) -> bool:
+    """Whether a word of a name tells nothing, misspelt or not."""
+    if word in FILLERS:
+        return True
+    if not 3 < len(word) < 12 or _FILLERS_LESS_ONE.isdisjoint(less_one(word)):
+        return False
+    return any((word[0] == x[0] or word[-1] == x[-1]) and slips(word, x, 1) for x in LONG_FILLERS)
+
+
 def same_word(a: str, b: str) -> bool:
     """Equal, misspelt, or one the abbreviation of the other."""
     short, long = sorted((a, b), key=len)
