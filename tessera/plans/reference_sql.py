@@ -462,3 +462,15 @@ k as (select distinct rel.ontology_id, rel.name, domain, range from rel join use
 select ontology_id, 'relation' as kind, name, domain, range from k union all select distinct ontology_id, 'entity', x, null, null from (select ontology_id, domain as x from k union select ontology_id, range from k)""",
     "graph_lint_metrics": f"select (select count(*) from {NODES}) + (select count(*) from {EDGES}) as records, (select count(*) from {NODES}) as nodes, (select count(*) from {EDGES}) as edges, (select count(*) from {NODES} where node_type = 'Claim') as claims, 0::bigint as verified_claims, 0::bigint as contested_claims",
 }
+
+_STATUS_FROM = SQL["claim_status"][SQL["claim_status"].index("from scored s join") :]
+_STATUS = "case when supports = 0 then 'rejected' when contradictions > 0 then 'contested' when numbers_missing or lexical < 0.2 or groups < 1 or quarantined then 'needs_review' else 'verified' end"
+_FAILED = ("supports = 0", "numbers_missing", "supports > 0 and lexical < 0.2", "groups < 1", "quarantined")
+
+SQL["claim_numbers"] = f"""
+with {_claims()},
+x as (select run_id, claim_id, numbers_missing, supports, lexical, groups, quarantined, {_STATUS} as status {_STATUS_FROM}),
+ids as (select run_id, claim_id, list_sort(list(distinct edge_id)) as ids from packet group by 1, 2)
+select x.run_id, x.claim_id, not numbers_missing as numerical_consistency, array_to_string(list_filter([{', '.join(f"case when {c} then '{t}' end" for c, t in zip(_FAILED, verify.ISSUES, strict=True))}], lambda i: i is not null), ' ') as issues,
+       'adjudication:' || {_hash(['x.run_id', 'x.claim_id', 'status', "array_to_string(ids, ',')"])} as decision_id
+from x left join ids on ids.run_id = x.run_id and ids.claim_id = x.claim_id"""
