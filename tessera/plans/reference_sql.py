@@ -474,3 +474,15 @@ ids as (select run_id, claim_id, list_sort(list(distinct edge_id)) as ids from p
 select x.run_id, x.claim_id, not numbers_missing as numerical_consistency, array_to_string(list_filter([{', '.join(f"case when {c} then '{t}' end" for c, t in zip(_FAILED, verify.ISSUES, strict=True))}], lambda i: i is not null), ' ') as issues,
        'adjudication:' || {_hash(['x.run_id', 'x.claim_id', 'status', "array_to_string(ids, ',')"])} as decision_id
 from x left join ids on ids.run_id = x.run_id and ids.claim_id = x.claim_id"""
+
+_VALUE = lambda c, k="k": f"json_extract_string({c}, '$.' || {k})"
+SQL["er_identifier_conflicts"] = f"""
+with {_BLOCKS},
+f as (select run_id, node_id, coalesce(json_extract({_JSON}, '$.identifiers'), '{{}}') as i, coalesce(json_extract({_JSON}, '$.attributes'), '{{}}') as a from {NODES}),
+b as (select p.*, l.i as li, r.i as ri, l.a as la, r.a as ra, list_intersect(json_keys(l.i), json_keys(r.i)) as ik, list_intersect(json_keys(l.a), json_keys(r.a)) as ak
+      from pairs p join f l on l.run_id = p.run_id and l.node_id = left_id join f r on r.run_id = p.run_id and r.node_id = right_id)
+select run_id, left_id, right_id, case when len(list_filter(ik, lambda k: {_VALUE('li')} = {_VALUE('ri')})) > 0 then 1.0 else 0.0 end::double as identifiers,
+       round(case when len(ak) = 0 then 0.0 else len(list_filter(ak, lambda k: {_VALUE('la')} = {_VALUE('ra')}))::double / len(ak) end, 6) as attributes,
+       array_to_string(list_transform(list_sort(list_filter(ik, lambda k: {_VALUE('li')} <> {_VALUE('ri')})), lambda k: 'identifier:' || k)
+         || list_transform(list_sort(list_filter(ak, lambda k: k in ({', '.join(repr(c) for c in resolve.CRITICAL)}) and {_VALUE('la')} <> {_VALUE('ra')})), lambda k: 'attribute:' || k), ',') as hard_conflicts
+from b"""
