@@ -1,7 +1,8 @@
 """References to records that don't exist, were deleted before, or arrive only later.
 
-Method: a Bloom filter of all parent keys, of bounded size and broadcast, proves most dead references dead without a
-shuffle; what passes it is verified by an exact join, then counted.
+Method: a Bloom filter of all parent keys, of bounded size and broadcast, proves most dead references dead before any
+shuffle; what passes it is verified by an exact join, then counted. The filter is a table of blocks that is joined: as a
+value in a condition it would be in every plan, description of a plan and task of the query, and fill the driver.
 """
 
 from __future__ import annotations
@@ -13,41 +14,47 @@ from pyspark.sql import functions as F
 
 from ..sources.runstore import clean_id, seconds
 
-#: Bits a parent key gets in the filter (about 0.3 % false positives) and the most that a filter may have (8 MB).
+#: Bits a parent key gets in the filter (about 1 % false positives) and the most that a filter may have (8 MB).
 BITS_PER_KEY, MOST_BITS = 12, 1 << 26
+#: Words of 64 bits in a row of the filter (as a power of two), and bits that a key sets in its word.
+WORDS_LOG, BITS_SET = 10, 4
 
 
-def _classic(spark, expression) -> Column:
-    return Column(spark.sparkContext._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+def _mask(hashed: Column) -> Column:
+    """The bits of a key in its word, from the upper bits of its hash (the lower ones choose the word)."""
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58 - 6 * i).bitwiseAND(63).cast("int"))
+    return reduce(Column.bitwiseOR, map(one, range(BITS_SET)))
 
 
-def _expression(spark, c: Column):
-    return spark.sparkContext._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(c._jc)
+def bloom_filter(keys: DataFrame, hashed: Column, expected: int) -> tuple[DataFrame, int]:
+    """A Bloom filter of `hashed` (a long) over keys: __block and its __words, and how many words there are in all. At most
+    MOST_BITS bits, whatever there is. A key has all its bits in one word; words without keys are there, too."""
+    words = 1 << (max(min(MOST_BITS, expected * BITS_PER_KEY) // 64, 128) - 1).bit_length()
+    held = keys.select(hashed.alias("__hash")).select(F.col("__hash").bitwiseAND(words - 1).alias("__word"), _mask(F.col("__hash")).alias("__bits"))
+    none = keys.sparkSession.range(words).select(F.col("id").alias("__word"), F.lit(0).cast("long").alias("__bits"))
+    each = held.unionByName(none).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    row = F.transform(F.sort_array(F.collect_list(F.struct("__word", "__bits"))), lambda x: x["__bits"])
+    return each.groupBy(F.shiftright("__word", WORDS_LOG).alias("__block")).agg(row.alias("__words")), words
 
 
-def bloom_filter(keys: DataFrame, hashed: Column, expected: int) -> bytes | None:
-    """A Bloom filter of `hashed` (a long) over keys; None for no keys. At most MOST_BITS bits, whatever there is."""
-    spark = keys.sparkSession
-    catalyst = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.expressions
-    lit = lambda n: _expression(spark, F.lit(n).cast("long"))
-    bits = min(MOST_BITS, max(1 << 13, expected * BITS_PER_KEY))
-    aggregate = catalyst.aggregate.BloomFilterAggregate(_expression(spark, hashed), lit(max(1, min(expected, 4_000_000))), lit(bits))
-    return keys.agg(_classic(spark, aggregate.toAggregateExpression()).alias("f")).first()[0]
+def with_possible(df: DataFrame, bloom: tuple[DataFrame, int], hashed: Column) -> DataFrame:
+    """df with __possible: false where the filter proves that `hashed` isn't in it."""
+    blocks, words = bloom
+    word = F.col("__hash").bitwiseAND(words - 1)
+    keyed = df.withColumn("__hash", hashed).withColumn("__block", F.shiftright(word, WORDS_LOG))
+    here, mask = F.get("__words", word.bitwiseAND((1 << WORDS_LOG) - 1).cast("int")), _mask(F.col("__hash"))
+    return keyed.join(F.broadcast(blocks), "__block", "left").select(*df.columns, F.coalesce(here.bitwiseAND(mask) == mask, F.lit(False)).alias("__possible"))
 
 
-def might_contain(df: DataFrame, bloom: bytes | None, hashed: Column) -> Column:
-    """False where the filter proves that `hashed` isn't in it."""
-    if bloom is None:
-        return F.lit(False)
-    spark = df.sparkSession
-    catalyst = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.expressions
-    return _classic(spark, catalyst.BloomFilterMightContain(_expression(spark, F.lit(bytearray(bloom))), _expression(spark, hashed)))
+def earliest(references: DataFrame) -> DataFrame:
+    """A row delivered repeatedly is one, and its earliest time counts."""
+    return references.groupBy("table_name", "run_id", "row_id", "ref_id").agg(F.min("ref_time").alias("ref_time"))
 
 
-def run_store_references(dependencies: DataFrame, edges: DataFrame, verifications: DataFrame) -> DataFrame:
-    """table_name, run_id, row_id, ref_id, ref_time (seconds; null: unknown) of the three referring tables.
+def run_store_deliveries(dependencies: DataFrame, edges: DataFrame, verifications: DataFrame) -> DataFrame:
+    """table_name, run_id, row_id, ref_id, ref_time (seconds; null: unknown) of the three referring tables, as delivered.
 
-    A row delivered repeatedly is one, and its earliest time counts. Null, empty and blank ids are no references.
+    Null, empty and blank ids are no references.
     """
     of = lambda df, name, row, ref, time: df.select(F.lit(name).alias("table_name"), "run_id", clean_id(row).alias("row_id"), clean_id(ref).alias("ref_id"), seconds(time).alias("ref_time"))
     rows = reduce(DataFrame.unionByName, (
@@ -55,7 +62,12 @@ def run_store_references(dependencies: DataFrame, edges: DataFrame, verification
         of(edges, "graph_edges", "edge_id", "source_episode_id", "recorded_at"),
         of(verifications, "claim_verifications", "decision_id", "claim_id", "created_at"),
     ))
-    return rows.where("ref_id is not null").groupBy("table_name", "run_id", "row_id", "ref_id").agg(F.min("ref_time").alias("ref_time"))
+    return rows.where("ref_id is not null")
+
+
+def run_store_references(dependencies: DataFrame, edges: DataFrame, verifications: DataFrame) -> DataFrame:
+    """The same, each reference once."""
+    return earliest(run_store_deliveries(dependencies, edges, verifications))
 
 
 def run_store_parents(tasks: DataFrame, episodes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -75,21 +87,20 @@ def run_store_parents(tasks: DataFrame, episodes: DataFrame, nodes: DataFrame) -
 def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     """The references that no parent answers, with `reason`: missing, deleted (not after the reference) or later.
 
-    references: table_name, run_id, row_id, ref_id, ref_time; parents: table_name, run_id, ref_id, arrived, deleted, one
-    row per key. Without ref_time only non-existence counts; a parent without arrival time was always there.
+    references: table_name, run_id, row_id, ref_id, ref_time, repeated or not; parents: table_name, run_id, ref_id, arrived,
+    deleted, one row per key. Without ref_time only non-existence counts; a parent without arrival time was always there.
     """
     key = ["table_name", "run_id", "ref_id"]
     hashed = F.xxhash64(*key)
-    bloom = bloom_filter(parents, hashed, parents.count())
-    possible = might_contain(references, bloom, hashed)
-    surely = references.where(~possible).withColumn("reason", F.lit("missing"))
+    flagged = with_possible(references.select("table_name", "run_id", "row_id", "ref_id", "ref_time"), bloom_filter(parents, hashed, parents.count()), hashed)
+    surely = earliest(flagged.where("not __possible")).withColumn("reason", F.lit("missing"))
     there = parents.select(*key, F.struct("arrived", "deleted").alias("parent"))
     reason = (
         F.when(F.col("parent").isNull(), "missing")
         .when(F.col("parent.deleted") <= F.col("ref_time"), "deleted")
         .when(F.col("parent.arrived") > F.col("ref_time"), "later")
     )
-    verified = references.where(possible).join(there, key, "left").withColumn("reason", reason).where("reason is not null")
+    verified = earliest(flagged.where("__possible")).join(there, key, "left").withColumn("reason", reason).where("reason is not null")
     return surely.unionByName(verified.select(*surely.columns))
 
 

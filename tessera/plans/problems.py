@@ -50,7 +50,7 @@ def p3_periods(spark: SparkSession, d: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     t = lambda name: table(spark, d, name)
-    references = orphans.run_store_references(t("task_dependencies"), t("graph_edges"), t("claim_verifications"))
+    references = orphans.run_store_deliveries(t("task_dependencies"), t("graph_edges"), t("claim_verifications"))
     return orphans.orphans(references, orphans.run_store_parents(t("tasks"), t("source_episodes"), t("graph_nodes")))
 
 

@@ -40,3 +40,31 @@ def test_run_store_tables_with_nulls_repeats_and_clashing_columns(spark):
     nodes = spark.createDataFrame([("r", "c1", "Claim", t(0), t(5)), ("r", "c2", "Product", t(0), None)], "run_id string, node_id string, node_type string, created_at timestamp_ntz, deleted_at timestamp_ntz")
     got = {(r.table_name, r.ref_id): r.reason for r in orphans.orphans(refs, orphans.run_store_parents(tasks, episodes, nodes)).collect()}
     assert got == {("graph_edges", "ep"): "later", ("claim_verifications", "c1"): "deleted", ("claim_verifications", "c2"): "missing"}
+
+
+def test_plan_does_not_grow_with_the_parents(spark):
+    refs = spark.createDataFrame([("t", "r", "x", "p1", 1), ("t", "r", "y", "gone", 1)], REFS)
+
+    def found(n):
+        return orphans.orphans(refs, spark.range(n).selectExpr("'t' as table_name", "'r' as run_id", "concat('p', id) as ref_id", "0L as arrived", "cast(null as long) as deleted"))
+
+    few, many = found(10), found(200_000)
+    assert [r.row_id for r in many.collect()] == ["y"]
+    assert len(many._jdf.queryExecution().toString()) < 2 * len(few._jdf.queryExecution().toString())
+
+
+def test_filter_table_holds_every_key_and_few_others(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(20_000).selectExpr("concat('p', id) as ref_id")
+    bloom = orphans.bloom_filter(keys, F.xxhash64("ref_id"), 20_000)
+    assert bloom[0].selectExpr("sum(size(__words))").first()[0] == bloom[1]
+    asked = spark.range(40_000).selectExpr("concat('p', id) as ref_id", "id < 20000 as there")
+    got = {r.there: r.n for r in orphans.with_possible(asked, bloom, F.xxhash64("ref_id")).where("__possible").groupBy("there").agg(F.count("*").alias("n")).collect()}
+    assert got[True] == 20_000 and got.get(False, 0) < 600
+
+
+def test_repeated_references_are_one_of_the_earliest_time(spark):
+    refs = spark.createDataFrame([("t", "r", "x", "p", 9), ("t", "r", "x", "p", 4), ("t", "r", "y", "gone", 9), ("t", "r", "y", "gone", None), ("t", None, "z", "p", 9)], REFS)
+    parents = spark.createDataFrame([("t", "r", "p", 5, None), ("t", None, "p", 5, None)], PARENTS)
+    assert rows(orphans.orphans(refs, parents), "row_id", "ref_time", "reason") == [("x", 4, "later"), ("y", 9, "missing"), ("z", 9, "missing")]
